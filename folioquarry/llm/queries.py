@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquarry.llm import licenses, linededup, sharding, tokenbin
+from folioquarry.llm import ann, licenses, linededup, sharding, tokenbin, toxicity
 from folioquarry.llm.common import table
 
 
@@ -20,10 +20,18 @@ def op5_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_file_digests(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op9_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_sampled_splitter_shards, op7_token_frames, op9_license_rules, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op5_sampled_splitter_shards,
+        op6_toxicity_nnpu,
+        op7_token_frames,
+        op8_adaptive_scan_neighbours,
+        op9_license_rules,
+        op10_line_dedup,
+    )
 }
 
 ORACLES: dict[str, str] = {"op10_line_dedup": linededup.ORACLE_SQL}
