@@ -1,13 +1,14 @@
 """Token ids in files of independent zstandard frames with a trailing seek table and a checksum for each frame.
 
-A file is: data frames (each a run of whole documents, ids as little-endian unsigned 32-bit integers); one skippable frame
-with the document index (id and number of ids of each document, zstandard-compressed); one skippable frame with the seek
+A file is: data frames (each a run of whole documents, ids as little-endian unsigned integers of 2 or 4 bytes, as the
+vocabulary needs); one skippable frame with the document index (that width; id and number of ids of each document;
+zstandard-compressed); one skippable frame with the seek
 table in the public seekable layout (compressed size, size and the low half of XXH64 of each frame, then frame count,
 flags and the magic number 0x8F92EAB1). A reader loads the tail, finds the frames of the documents asked for, and
 decompresses only those.
 
-Texts are encoded once into a table in the shared folder; that table, not the text, is range-partitioned by id. Files get
-names of their own for each attempt of a task, and only those reported by the attempt that won are listed and read.
+Texts are range-partitioned by id and encoded on the way into the files, so each is shuffled once and encoded once. Files
+get names of their own for each attempt of a task, and only those reported by the attempt that won are listed and read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import NULL_ID, fresh_path, id_key, written
+from folioquarry.llm.common import NULL_ID, fresh_path, id_key
 from folioquarry.llm.wordcut import Memo
 
 END_ID = 0
@@ -38,10 +39,10 @@ _MANIFEST = "part int, path string, docs long, ids long"
 
 
 class Writer:
-    """Writes documents in the order given."""
+    """Writes documents in the order given; payloads are arrays of ids, stored in `width` bytes each."""
 
-    def __init__(self, sink, frame_bytes: int = FRAME_BYTES, level: int = LEVEL):
-        self.sink, self.frame_bytes = sink, frame_bytes
+    def __init__(self, sink, width: int = 4, frame_bytes: int = FRAME_BYTES, level: int = LEVEL):
+        self.sink, self.width, self.frame_bytes = sink, width, frame_bytes
         self.pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.pending: list[bytes] = []
         self.size = 0
@@ -49,11 +50,12 @@ class Writer:
         self.ids: list[int] = []
         self.lengths: list[int] = []
 
-    def add(self, doc_id: int, payload: bytes) -> None:
+    def add(self, doc_id: int, ids: np.ndarray) -> None:
+        payload = ids.astype(f"<u{self.width}").tobytes()
         self.pending.append(payload)
         self.size += len(payload)
         self.ids.append(doc_id)
-        self.lengths.append(len(payload) // 4)
+        self.lengths.append(len(ids))
         if self.size >= self.frame_bytes:
             self.flush()
 
@@ -67,7 +69,7 @@ class Writer:
 
     def close(self) -> None:
         self.flush()
-        index = self.pack.compress(np.array(self.ids, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes())
+        index = self.pack.compress(np.array([self.width], "<i8").tobytes() + np.array(self.ids, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes())
         self.sink.write(struct.pack("<II", _SKIP_INDEX, len(index)) + index)
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, _SEEK_MAGIC)
         # the footer is preceded by the index's length, so that a reader can find it from the end
@@ -93,11 +95,12 @@ class Reader:
         source.seek(end - 9 - 12 * count - 4 - 8 - index_len)
         raw = zstandard.ZstdDecompressor().decompress(source.read(index_len))
         n = len(raw) // 16
-        self.ids = np.frombuffer(raw, "<i8", n)
-        self.lengths = np.frombuffer(raw, "<u8", n, 8 * n).astype(np.int64)
+        self.width = int(np.frombuffer(raw, "<i8", 1)[0])
+        self.ids = np.frombuffer(raw, "<i8", n, 8)
+        self.lengths = np.frombuffer(raw, "<u8", n, 8 + 8 * n).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.frame_at = np.concatenate([[0], np.cumsum(self.frames[:, 0])])
-        self.frame_ids = np.concatenate([[0], np.cumsum(self.frames[:, 1] // 4)])
+        self.frame_ids = np.concatenate([[0], np.cumsum(self.frames[:, 1] // self.width)])
         self.unpack = zstandard.ZstdDecompressor()
         self.held: tuple[int, bytes] = (-1, b"")
 
@@ -110,11 +113,11 @@ class Reader:
             self.held = (k, raw)
         return self.held[1]
 
-    def document(self, k: int) -> bytes:
-        """The bytes of the k-th document; a document never crosses frames."""
+    def document(self, k: int) -> np.ndarray:
+        """The ids of the k-th document, as unsigned 32-bit integers; a document never crosses frames."""
         f = int(np.searchsorted(self.frame_ids, self.starts[k], "right")) - 1
-        at = int(self.starts[k] - self.frame_ids[f]) * 4
-        return self.frame(f)[at : at + int(self.lengths[k]) * 4]
+        at = int(self.starts[k] - self.frame_ids[f]) * self.width
+        return np.frombuffer(self.frame(f), f"<u{self.width}", int(self.lengths[k]), at).astype("<u4")
 
     def find(self, doc_id: int) -> list[int]:
         lo, hi = np.searchsorted(self.ids, [doc_id, doc_id + 1])
@@ -122,35 +125,23 @@ class Reader:
 
 
 def _encoder(path: str):
+    """A memo of segments, a function for whole texts, and the bytes that an id of the vocabulary needs."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
-    as_bytes = lambda e: np.array(e.ids, "<u4").tobytes()
+    width = 2 if made.get_vocab_size() <= 1 << 16 else 4
+    as_bytes = lambda e: np.array(e.ids, f"<u{width}").tobytes()
     many = lambda ws: [as_bytes(e) for e in made.encode_batch_fast(ws, add_special_tokens=False)]
-    return Memo(many), lambda t: as_bytes(made.encode(t, add_special_tokens=False))
-
-
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(id, ids binary) of every whole text, the end id appended; null texts are empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, whole = _encoder(tokenizer)
-        end = np.array([END_ID], "<u4").tobytes()
-        for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
-                payloads = memo.payloads([t or "" for t in part.column(1).to_pylist()], whole)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p + end for p in payloads], pa.binary())], names=["id", "ids"])
-
-    return docs.select(id_key().alias("id"), "text").mapInArrow(run, "id long, ids binary")
+    return Memo(many), lambda t: as_bytes(made.encode(t, add_special_tokens=False)), width
 
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, int, int]]:
-    """Writes files of ascending ids below path; returns (part, file, documents, ids) in order: one row a file."""
-    spark = docs.sparkSession
-    encoded = written(encode(docs, tokenizer), "token-ids")
+    """Encodes every whole text (null: empty), appends the end id, and writes files of ascending ids below path.
+
+    Returns (part, file, documents, ids) in order: one row a file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -159,22 +150,26 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, in
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.tokz"
         writer = None
         for b in batches:
-            for i, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for a in range(0, b.num_rows, 256):
+                some = b.slice(a, 256)
                 if writer is None:
-                    writer = Writer(fs.open_output_stream(name))
-                writer.add(i, payload)
+                    memo, whole, width = _encoder(tokenizer)
+                    writer = Writer(fs.open_output_stream(name), width)
+                payloads = memo.payloads([t or "" for t in some.column(1).to_pylist()], whole)
+                for i, payload in zip(some.column(0).to_pylist(), payloads, strict=True):
+                    writer.add(i, np.append(np.frombuffer(payload, f"<u{width}"), END_ID))
         if writer:
             writer.close()
             writer.sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.ids)], pa.int64()), pa.array([sum(writer.lengths)], pa.int64())], names=["part", "path", "docs", "ids"])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(n, "id").sortWithinPartitions("id", "ids")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.select(id_key().alias("id"), "text").repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     return sorted(tuple(r) for r in ordered.mapInArrow(run, _MANIFEST).collect())
 
 
 def read(spark, manifest: list[tuple[int, str, int, int]], path: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, ids (as stored)."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32."""
     files, start = [], 0
     for _, name, _, ids in manifest:
         files.append((name, start))
@@ -191,7 +186,7 @@ def read(spark, manifest: list[tuple[int, str, int, int]], path: str) -> DataFra
                         z = min(a + 1000, len(reader.ids))
                         payloads = [reader.document(j) for j in range(a, z)]
                         ids = reader.ids[a:z]
-                        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(reader.starts[a:z] + base), pa.array(reader.lengths[a:z]), pa.array([zlib.crc32(p) for p in payloads], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(reader.starts[a:z] + base), pa.array(reader.lengths[a:z]), pa.array([zlib.crc32(p.tobytes()) for p in payloads], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, len(files))
     each = spark.range(0, len(files), 1, n)
@@ -201,7 +196,7 @@ def read(spark, manifest: list[tuple[int, str, int, int]], path: str) -> DataFra
 def token_file_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files.
 
-    Repeated ids lie side by side (equal ones in the order of their ids' bytes); null ids come first; an empty table
+    Repeated ids lie side by side (equal ones in the order of their texts); null ids come first; an empty table
     gives an empty result; other columns are not read.
     """
     path = fresh_path(docs.sparkSession, "token-files")
