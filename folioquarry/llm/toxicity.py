@@ -4,7 +4,7 @@ Positives are confirmed toxic documents; everything else is unlabelled text of t
 classifier g with class prior p is  p E_pos[l(g)] + max(0, E_unl[l(-g)] - p E_pos[l(-g)]);  where the bracket turns
 negative, the step goes back along its gradient, which keeps a flexible model from overfitting (Kiryo et al., 2017).
 
-A text is folded to words in lower case (ASCII) with single blanks between, and seen as its set of byte n-grams, blanks
+A text is folded to words in lower case with single blanks between, and seen as its set of byte n-grams, blanks
 included, so marked words are found by stem as well as whole. N-grams that are far more common in positives than in
 unlabelled text are the features; three classifiers on resampled documents are averaged. A set of n-grams cannot drown in
 a long text: scoring reads every byte and adds a weight once per n-gram and document.
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioquarry.llm.fold import folded, slices
+
 POSITIVES, UNLABELLED, SAMPLE_BYTES = 4_000, 10_000, 96 << 20
 LENGTHS = (6, 8)
 FEATURES, MIN_POSITIVES, MIN_Z = 600, 5, 7.0
@@ -31,22 +32,12 @@ MODELS, EPOCHS, BATCH, RATE, DECAY = 3, 30, 512, 0.05, 1e-5
 FIRST_LOOK = 1_000
 _FILTER_BITS = 20
 
-_FOLD = np.full(256, 32, np.uint8)
-for _c in (*range(48, 58), *range(97, 123), *range(128, 256)):
-    _FOLD[_c] = _c
-for _c in range(65, 91):
-    _FOLD[_c] = _c + 32
-
 
 def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, text number) of all n-grams of the texts, for each length."""
-    raws = [b"".join((b" ", (t or "").encode("utf-8", "surrogatepass"), b" " * 9)) for t in texts]
-    buf = _FOLD[np.frombuffer(b"".join(raws), np.uint8)]
-    owner = np.repeat(np.arange(len(raws), dtype=np.int32), [len(r) for r in raws])
-    keep = np.empty(len(buf), bool)
-    keep[:1] = True
-    keep[1:] = (buf[1:] != 32) | (buf[:-1] != 32) | (owner[1:] != owner[:-1])
-    buf, owner = buf[keep].astype(np.uint32), owner[keep]
+    buf, ends = folded(texts, 9)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(ends))
+    buf = buf.astype(np.uint32)
     h = {1: buf}
     for n in (2, 4):
         half = h[n // 2]
@@ -64,18 +55,6 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield x[inside], owner[:m][inside]
 
 
-def _slices(texts: list[str | None], most: int = 4 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """The texts in runs of about `most` characters, each with the number of its first text."""
-    at, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield at, texts[at : k + 1]
-            at, size = k + 1, 0
-    if at < len(texts):
-        yield at, texts[at:]
-
-
 @dataclass
 class Model:
     hashes: np.ndarray  # sorted
@@ -102,7 +81,7 @@ class Model:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         if len(self.hashes):
-            for first, part in _slices(texts):
+            for first, part in slices(texts):
                 doc, feature = self.present(part)
                 out[first : first + len(part)] += np.bincount(doc, self.weights[feature], len(part))
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
@@ -113,11 +92,11 @@ def _counts(texts: list[str | None], among: np.ndarray | None = None) -> tuple[n
     if among is not None:
         model = Model(among, np.zeros(len(among)), 0.0)
         n = np.zeros(len(among), np.int64)
-        for _, part in _slices(texts, 1 << 20):
+        for _, part in slices(texts, 1 << 20):
             n += np.bincount(model.present(part)[1], minlength=len(among))
         return among, n
     out = [np.empty(0, np.uint32)]
-    for _, part in _slices(texts, 1 << 20):
+    for _, part in slices(texts, 1 << 20):
         pairs = [(owner.astype(np.uint64) << np.uint64(32)) | x for x, owner in _grams(part)]
         if pairs:
             out.append(np.unique(np.concatenate(pairs)).astype(np.uint32))
@@ -173,14 +152,13 @@ def _fit(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int) -> tuple[np.nd
 
 
 def _threshold(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
-    """The middle of the cuts that have the least non-negative zero-one risk on the sample."""
-    cuts = np.unique(np.concatenate([gp, gu]))
-    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1)
+    """Of the cuts that have the least non-negative zero-one risk on the sample, the one in the widest gap."""
+    values = np.unique(np.concatenate([gp, gu, gp[:1] - 1]))
+    cuts, gaps = (values[1:] + values[:-1]) / 2, np.diff(values)
     miss = np.searchsorted(np.sort(gp), cuts) / len(gp)
     flagged = 1 - np.searchsorted(np.sort(gu), cuts) / len(gu)
     risk = prior * miss + np.maximum(0, flagged - prior * (1 - miss))
-    least = cuts[risk <= risk.min() + 1e-9]
-    return float((least[0] + least[-1]) / 2)
+    return float(cuts[np.argmax(np.where(risk <= risk.min() + 1e-9, gaps, -1))])
 
 
 def train(pos: list[str | None], unl: list[str | None], prior: float) -> Model:
@@ -194,7 +172,7 @@ def train(pos: list[str | None], unl: list[str | None], prior: float) -> Model:
     def matrix(texts: list) -> np.ndarray:
         x = np.zeros((len(texts), len(hashes) + 1), np.float32)
         x[:, -1] = 1
-        for first, part in _slices(texts):
+        for first, part in slices(texts):
             doc, feature = model.present(part)
             x[doc + first, feature] = 1
         return x
@@ -210,17 +188,26 @@ def held_out(col: str = "doc_id"):
     return F.crc32(F.encode(F.coalesce(F.col(col).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def _sample(docs: DataFrame, wanted: int, most_bytes: int, seed: int) -> list[str | None]:
-    """Texts of the documents with the smallest hashes of their ids, as many as fit."""
-    ids = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("b"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    took, size = [], 0
-    for r in ids.orderBy("h", "doc_id").limit(wanted).collect():
-        size += r["b"]
-        if size > most_bytes:
-            break
-        took.append((r["doc_id"],))
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(took, "doc_id long").distinct())  # `wanted` rows at most
-    return [r["text"] for r in docs.join(chosen, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "text").limit(wanted).select("text").collect()]
+def _samples(docs: DataFrame, wanted: list[tuple[DataFrame, int, int]]) -> list[list[str | None]]:
+    """For each (ids, rows, bytes): the texts of the ids with the smallest hashes, as many as fit.
+
+    Only ids are joined and sorted; texts are fetched by a broadcast of the chosen ids, `rows` of each at most.
+    """
+    spark = docs.sparkSession
+    picks = [[r[0] for r in ids.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(k), "doc_id"), "doc_id").limit(rows).collect()] for k, (ids, rows, _) in enumerate(wanted)]
+
+    def only(ids) -> DataFrame:
+        return docs.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(ids)], "doc_id long")), "doc_id", "left_semi")
+
+    sizes = only({i for p in picks for i in p}).groupBy("doc_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.count("*"))
+    size = {r[0]: r[1] + 64 * r[2] for r in sizes.collect()}
+    for k, (_, _, most) in enumerate(wanted):
+        fits = np.cumsum([size.get(i, 0) for i in picks[k]]) <= most
+        picks[k] = [i for i, ok in zip(picks[k], fits, strict=True) if ok]
+    texts: dict[int, list] = {}
+    for r in only({i for p in picks for i in p}).select("doc_id", "text").collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    return [[t for i in p for t in sorted(texts.get(i, ()), key=lambda t: t or "")] for p in picks]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -228,9 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out() & F.col("doc_id").isNotNull())
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out() & F.col("toxic").isNotNull())
     prior = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    toxic = known.where("toxic > 0").select("doc_id")
-    pos = _sample(docs.join(toxic, "doc_id", "left_semi"), POSITIVES, SAMPLE_BYTES // 3, 1)
-    unl = _sample(docs, UNLABELLED, SAMPLE_BYTES * 2 // 3, 2)
+    ids = docs.select("doc_id")
+    toxic = ids.join(known.where("toxic > 0").select("doc_id"), "doc_id", "left_semi")
+    pos, unl = _samples(docs, [(toxic, POSITIVES, SAMPLE_BYTES // 3), (ids, UNLABELLED, SAMPLE_BYTES * 2 // 3)])
     return train(pos, unl, prior or 0.0)
 
 
