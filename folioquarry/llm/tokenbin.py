@@ -14,10 +14,13 @@ get names of their own for each attempt of a task, and only those reported by th
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,17 +127,45 @@ class Reader:
         return list(range(int(lo), int(hi)))
 
 
+#: A segment of one or two pre-tokens: letters with at most one blank before them, then ASCII punctuation.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as the characters from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+@cache
 def _encoder(path: str):
-    """A memo of segments, a function for whole texts, and the bytes that an id of the vocabulary needs."""
+    """A memo of segments, a function for whole texts, and the bytes that an id of the vocabulary needs.
+
+    The library's model is asked directly for segments whose pre-tokens are plain to see, else the whole library.
+    """
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
     width = 2 if made.get_vocab_size() <= 1 << 16 else 4
-    as_bytes = lambda e: np.array(e.ids, f"<u{width}").tobytes()
-    many = lambda ws: [as_bytes(e) for e in made.encode_batch_fast(ws, add_special_tokens=False)]
-    return Memo(many), lambda t: as_bytes(made.encode(t, add_special_tokens=False)), width
+    code, letters, model = {2: "H", 4: "I"}[width], _byte_letters(), made.model.tokenize
+
+    def whole(text: str) -> bytes:
+        return array(code, made.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def many(words: list[str]) -> list[bytes]:
+        out = []
+        for w in words:
+            if m := _PLAIN.fullmatch(w):
+                ids = [t.id for part in m.groups() if part for t in model(part.encode().decode("latin-1").translate(letters))]
+                out.append(array(code, ids).tobytes())
+            else:
+                out.append(whole(w))
+        return out
+
+    return Memo(many), whole, width
 
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, int, int]]:

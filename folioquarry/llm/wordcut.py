@@ -15,29 +15,40 @@ def segments(text: str) -> list[str] | None:
 
 
 class Memo(dict):
-    """A bounded memo of segments; when it is full it starts anew. encode(list of segments) -> list of bytes."""
+    """A memo of segments with a bound: two generations of `limit` entries; what the younger one uses survives.
 
-    def __init__(self, encode, limit: int = 300_000):
+    encode(list of segments) -> list of bytes.
+    """
+
+    def __init__(self, encode, limit: int = 250_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.older = encode, limit, {}
 
     def fill(self, words: set[str]) -> None:
         missing = [w for w in words if w not in self]
         if len(self) + len(missing) > self.limit:
+            self.older = dict(self)
             self.clear()
             missing = list(words)
-        if missing:
-            self.update(zip(missing, self.encode(missing), strict=True))
+        older = self.older
+        unknown = []
+        for w in missing:
+            if w in older:
+                self[w] = older[w]
+            else:
+                unknown.append(w)
+        if unknown:
+            self.update(zip(unknown, self.encode(unknown), strict=True))
 
     def payloads(self, texts: list[str], whole) -> list[bytes]:
         """The bytes of each text; whole(text) serves the texts that must not be cut."""
         out: list[bytes] = []
-        cuts = [segments(t) for t in texts]
-        for a in range(0, len(cuts), 64):  # the words of a few texts at a time, so that the memo never lacks one
-            part = cuts[a : a + 64]
+        for a in range(0, len(texts), 64):  # the words of a few texts at a time, so that the memo never lacks one
+            part = texts[a : a + 64]
+            cuts = [segments(t) for t in part]
             words: set[str] = set()
-            for c in part:
+            for c in cuts:
                 words.update(c or ())
             self.fill(words)
-            out += [whole(texts[a + k]) if c is None else b"".join(map(self.__getitem__, c)) for k, c in enumerate(part)]
+            out += [whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(part, cuts, strict=True)]
         return out
