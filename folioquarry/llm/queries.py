@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquarry.llm import ann, licenses, linededup, sharding, tokenbin, toxicity
+from folioquarry.llm import ann, decontam, licenses, linededup, neardup, sharding, tokenbin, toxicity
 from folioquarry.llm.common import table
 
 
@@ -16,6 +16,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_order_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -43,6 +51,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_cgk_decontamination,
+        op4_order_minhash_groups,
         op5_sampled_splitter_shards,
         op6_toxicity_nnpu,
         op7_token_frames,
