@@ -71,9 +71,8 @@ def sketch(words: np.ndarray) -> np.ndarray:
         run = np.concatenate([[0], np.cumsum(~same)])
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         nth = np.arange(len(h)) - first[run]
-        labelled = h.copy()
-        labelled[order] += nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        h = _mixed(labelled)
+        h[order] += nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    h = _mixed(h)
     out = np.empty(SKETCHES, np.uint64)
     for a in range(0, SKETCHES, 16):
         keys = h[None, :] * _ODD[a : a + 16, None]
@@ -200,6 +199,11 @@ def _alike(n: Column, m: Column) -> Column:
     return F.abs(n - m) <= F.floor(F.greatest(n, m) * F.lit(1 - SIMILARITY) + F.lit(1e-9))
 
 
+def _near_pivot(n: Column, m: Column) -> Column:
+    """Lengths of a pivot (n) and a member (m) at which the member may be linked or in the ring, as in relate()."""
+    return F.abs(n - m) <= F.floor(n * F.lit(0.25) + F.greatest(m.cast("double"), n * F.lit(1.25)) * F.lit(1 - SIMILARITY)) + 1
+
+
 def _stars(buckets: DataFrame) -> DataFrame:
     """(key, a, na, b, nb): the members b of each bucket with its pivot a."""
     pivots = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
@@ -244,7 +248,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     divided = False
     while not rest.isEmpty():
         stars = _stars(rest)
-        pairs = stars.where(_alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+        pairs = stars.where(_near_pivot(F.col("na"), F.col("nb"))).select("a", "b").distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         found = _verify(pairs, texts)
