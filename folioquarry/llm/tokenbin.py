@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquarry.llm.common import NULL_ID, fresh_path, id_key
-from folioquarry.llm.wordcut import Memo
+from folioquarry.llm.fold import slices
+from folioquarry.llm.wordcut import LETTERS, MARKS, SegmentEncoder
 
 END_ID = 0
 FRAME_BYTES = 1 << 18
@@ -127,8 +128,8 @@ class Reader:
         return list(range(int(lo), int(hi)))
 
 
-#: A segment of one or two pre-tokens: letters with at most one blank before them, then ASCII punctuation.
-_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+#: A segment whose pre-tokens are plain to see: a line feed or none, then letters or punctuation with a blank or none.
+_PLAIN = re.compile(rf"(\n?)( ?(?:[{LETTERS}]+|[{MARKS}]+))")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -140,7 +141,7 @@ def _byte_letters() -> dict[int, int]:
 
 @cache
 def _encoder(path: str):
-    """A memo of segments, a function for whole texts, and the bytes that an id of the vocabulary needs.
+    """An encoder of whole texts by segments.
 
     The library's model is asked directly for segments whose pre-tokens are plain to see, else the whole library.
     """
@@ -151,6 +152,7 @@ def _encoder(path: str):
     made.encode_special_tokens = True  # their strings in a text are ordinary text
     width = 2 if made.get_vocab_size() <= 1 << 16 else 4
     code, letters, model = {2: "H", 4: "I"}[width], _byte_letters(), made.model.tokenize
+    plain, blank, line_feed = _PLAIN.fullmatch, chr(letters[32]), array(code, [t.id for t in model(chr(letters[10]))]).tobytes()
 
     def whole(text: str) -> bytes:
         return array(code, made.encode(text, add_special_tokens=False).ids).tobytes()
@@ -158,14 +160,20 @@ def _encoder(path: str):
     def many(words: list[str]) -> list[bytes]:
         out = []
         for w in words:
-            if m := _PLAIN.fullmatch(w):
-                ids = [t.id for part in m.groups() if part for t in model(part.encode().decode("latin-1").translate(letters))]
-                out.append(array(code, ids).tobytes())
-            else:
+            if not plain(w):
                 out.append(whole(w))
+                continue
+            head, lead = b"", w[0]
+            if lead == "\n":
+                head, w = line_feed, w[1:]
+            if not w.isascii():
+                w = w.encode().decode("latin-1").translate(letters)
+            elif w[0] == " ":
+                w = blank + w[1:]
+            out.append(head + array(code, [t.id for t in model(w)]).tobytes())
         return out
 
-    return Memo(many), whole, width
+    return SegmentEncoder(many, whole, width)
 
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, int, int]]:
@@ -181,14 +189,13 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, in
         name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.tokz"
         writer = None
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                some = b.slice(a, 256)
+            ids = b.column(0).to_pylist()
+            for first, texts in slices(b.column(1).to_pylist(), 2 << 20):
                 if writer is None:
-                    memo, whole, width = _encoder(tokenizer)
-                    writer = Writer(fs.open_output_stream(name), width)
-                payloads = memo.payloads([t or "" for t in some.column(1).to_pylist()], whole)
-                for i, payload in zip(some.column(0).to_pylist(), payloads, strict=True):
-                    writer.add(i, np.append(np.frombuffer(payload, f"<u{width}"), END_ID))
+                    encoder = _encoder(tokenizer)
+                    writer = Writer(fs.open_output_stream(name), encoder.width)
+                for i, own in zip(ids[first:], encoder.payloads([t or "" for t in texts]), strict=False):
+                    writer.add(i, np.append(own, own.dtype.type(END_ID)))
         if writer:
             writer.close()
             writer.sink.close()

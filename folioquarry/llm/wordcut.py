@@ -1,54 +1,111 @@
-"""Cuts of a text at which byte-level and piece tokenizers always cut too, so that segments can be encoded once."""
+"""Whole texts encoded by segments: cuts at which byte-level tokenizers always cut too, each segment encoded once.
+
+A segment is a run of blanks and line feeds with the run of other characters after it. In texts of plain letters, digits
+and punctuation, letters and punctuation are cut apart as well; texts with other white space are encoded as a whole. A
+batch is cut, hashed (64 bits, by tabulation) and put together in numpy; only segments that a bounded memo of hashes does
+not know reach the tokenizer.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-_SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: White space other than blanks and line feeds; a text that holds any is not cut.
-_ODD_SPACE = re.compile(r"[^\S \n]")
+import numpy as np
+import pandas as pd
 
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation without the apostrophe, which can belong to a contraction
+#: White space other than blanks and line feeds.
+_ODD_SPACE = re.compile(r"[^\S \n]")
+_SPACE, _MARK, _WORD, _ODD = 0, 1, 2, 3
+_LONGEST = 64
 
-def segments(text: str) -> list[str] | None:
-    """Runs of blanks and line feeds, each with the run of other characters after it; None if the text must stay whole."""
-    return None if _ODD_SPACE.search(text) else _SEGMENT.findall(text)
+_KIND = np.full(256, _ODD, np.uint8)
+for _c in range(33, 127):
+    _KIND[_c] = _WORD if chr(_c).isalnum() else _MARK
+_KIND[[32, 10]] = _SPACE
+_KIND[39] = _ODD
+_KIND[0xC3] = _WORD
+_KIND[0x80:0xC0] = _WORD  # after 0xC3; other lead bytes are odd
+_TABLE = np.random.default_rng(64).integers(0, 2**64, _LONGEST * 256, np.uint64)
 
 
-class Memo(dict):
-    """A memo of segments with a bound: two generations of `limit` entries; what the younger one uses survives.
+class SegmentEncoder:
+    """encode(segments) -> list of the bytes of each; whole(text) -> bytes; width: bytes of an id.
 
-    encode(list of segments) -> list of bytes.
+    The memo holds two generations of `limit` segments; what the younger one uses survives.
     """
 
-    def __init__(self, encode, limit: int = 250_000):
-        super().__init__()
-        self.encode, self.limit, self.older = encode, limit, {}
-
-    def fill(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > self.limit:
-            self.older = dict(self)
-            self.clear()
-            missing = list(words)
-        older = self.older
-        unknown = []
-        for w in missing:
-            if w in older:
-                self[w] = older[w]
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], width: int, limit: int = 600_000):
+        self.encode, self.whole, self.width, self.limit = encode, whole, width, limit
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+
+    def payloads(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as arrays of unsigned integers."""
+        kind = f"<u{self.width}"
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+        joined = b"".join(raws)
+        buf = np.frombuffer(joined, np.uint8)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if not len(buf):
+            return [np.empty(0, kind) for _ in texts]
+        kinds = _KIND[buf]
+        odd = kinds == _ODD
+        after = np.flatnonzero((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+        odd[after] = True
+        sums = np.concatenate([[0], np.cumsum(odd, dtype=np.int64)])
+        odd_texts = np.flatnonzero(sums[at[1:]] > sums[at[:-1]])
+        for k in odd_texts.tolist():
+            if _ODD_SPACE.search(texts[k]):
+                out[k] = np.frombuffer(self.whole(texts[k]), kind)
+            own = kinds[at[k] : at[k + 1]]
+            own[own != _SPACE] = _WORD
+        begins = np.empty(len(buf), bool)
+        begins[0] = True
+        begins[1:] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _SPACE)
+        begins[at[:-1][at[:-1] < len(buf)]] = True
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(starts, append=len(buf))
+        place = np.arange(len(buf), dtype=np.int64) - np.repeat(starts, sizes)
+        np.minimum(place, _LONGEST - 1, out=place)
+        place <<= 8
+        place |= buf
+        h = np.add.reduceat(_TABLE[place], starts)
+        long = np.flatnonzero(sizes > _LONGEST)
+        codes, uniques = pd.factorize(h)
+        first = np.empty(len(uniques), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        pieces = self._known(uniques.tolist(), first, starts, sizes, joined, set(codes[long].tolist()))
+        if len(long):  # beyond the table: each on its own
+            codes[long] = len(pieces) + np.arange(len(long))
+            pieces += self.encode([joined[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)])
+        pool = np.frombuffer(b"".join(pieces), kind)
+        lens = np.array([len(p) for p in pieces], np.int64) // self.width
+        offs = np.cumsum(lens) - lens
+        each = lens[codes]
+        ends = np.cumsum(each)
+        ids = pool[np.repeat(offs[codes] - (ends - each), each) + np.arange(ends[-1])]
+        cut = np.concatenate([[0], ends])[np.searchsorted(starts, at)]
+        return [ids[cut[k] : cut[k + 1]] if out[k] is None else out[k] for k in range(len(texts))]
+
+    def _known(self, hashes: list[int], first: np.ndarray, starts: np.ndarray, sizes: np.ndarray, joined: bytes, skip: set[int]) -> list[bytes]:
+        if len(self.young) + len(hashes) > self.limit:
+            self.old, self.young = self.young, {}
+        get = self.young.get
+        pieces = [get(h) for h in hashes]
+        missing = []
+        for k in [k for k, p in enumerate(pieces) if p is None]:
+            if k in skip:  # a hash of the first bytes only
+                pieces[k] = b""
+            elif (p := self.old.get(hashes[k])) is not None:
+                pieces[k] = self.young[hashes[k]] = p
             else:
-                unknown.append(w)
-        if unknown:
-            self.update(zip(unknown, self.encode(unknown), strict=True))
-
-    def payloads(self, texts: list[str], whole) -> list[bytes]:
-        """The bytes of each text; whole(text) serves the texts that must not be cut."""
-        out: list[bytes] = []
-        for a in range(0, len(texts), 64):  # the words of a few texts at a time, so that the memo never lacks one
-            part = texts[a : a + 64]
-            cuts = [segments(t) for t in part]
-            words: set[str] = set()
-            for c in cuts:
-                words.update(c or ())
-            self.fill(words)
-            out += [whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(part, cuts, strict=True)]
-        return out
+                missing.append(k)
+        where = first[missing] if missing else first[:0]
+        words = [joined[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts[where].tolist(), sizes[where].tolist(), strict=True)]
+        for k, p in zip(missing, self.encode(words), strict=True):
+            pieces[k] = self.young[hashes[k]] = p
+        return pieces

@@ -194,5 +194,6 @@ def test_frames_open_one_by_one_and_show_damage():
 
 @pytest.mark.parametrize("text", ["a  b\n\n c", " lead", "trail \n ", "it's we'll  don't\n'quoted'", "x\t\n y　z   w", "1 2  33\n4", "a,  b  ,c\n\n", "Été, naïve's ×÷ don't. can't... (x) [y]-z` ~q 'll", "<|endoftext|> <|endoftext|>x"])
 def test_cut_segments_encode_as_the_whole(text):
-    memo, whole, width = tokenbin._encoder(queries._tokenizer("byte_bpe_50k.json"))
-    assert memo.payloads([text], whole) == [np.array(tokenizer().encode(text, add_special_tokens=False).ids, f"<u{width}").tobytes()]
+    encoder = tokenbin._encoder(queries._tokenizer("byte_bpe_50k.json"))
+    for texts in ([text], ["", text, "x", text + text, ""], ["a" * 100 + text, "a" * 64, "a" * 65 + " b", "a" * 64 + "c"]):
+        assert [p.tolist() for p in encoder.payloads(texts)] == [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
