@@ -11,10 +11,12 @@ k-mer.
 
 A bucket of equal sketches is never expanded into all its pairs. Each member is aligned with the bucket's smallest id (the
 pivot). Distances obey the triangle inequality, so a member beyond twice the limit cannot be linked to one within the
-limit; only members in the ring between are compared with those inside. Members that are not linked to the pivot form a
-bucket of their own again. Buckets of at most SMALL such rest members compare each with the others (a constant number);
-larger rests are first divided by a second shared sketch and go through more pivots until they are small. Connected
-components of the links give the groups.
+limit; only members in the ring between can. What is left, members without the pivot's link and ring against inside, is
+divided by an exact filter: two texts within the limit share at least (1 - limit) of their words, so in any one order of all
+words they share a word among the first fifth (plus one) of each. The order puts words first that a bounded sample does
+not show as frequent, so texts that merely have a passage in common fall apart. The divided buckets go through pivots
+until at most SMALL members are left in each, which compare each with the others (a constant number). Connected components
+of the links give the groups.
 
 Everything but the verification moves ids and hashes only. Texts are shuffled once, of the candidates alone.
 """
@@ -36,6 +38,8 @@ from folioquarry.llm.fold import folded, slices
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 64, 2
 SMALL = 48
+#: Texts whose words show which words are frequent; the first 16 KB of each.
+SAMPLE = 2_000
 _LINKED, _RING, _APART = 0, 1, 2
 _RNG = np.random.default_rng(2019)
 _ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -210,6 +214,97 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(pivots, "key").where(F.col("id") != F.col("p.id")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
 
 
+def _prefixes(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, word): of the chosen texts, the first limit + 1 words in one order of all words, repeats told apart.
+
+    The order is by the number of texts of a bounded sample that hold the word, then by hash; it does not affect results.
+    """
+    spark = texts.sparkSession
+    chosen = texts.join(ids.select("id").distinct(), "id", "left_semi")
+    seen: dict[bytes, int] = {}
+    for r in chosen.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).select(F.substring("folded", 1, 1 << 14).alias("t")).collect():
+        for w in set(r["t"].split()):
+            seen[w] = seen.get(w, 0) + 1
+    held = spark.sparkContext.broadcast({w: n for w, n in seen.items() if n > 2})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, memo = held.value, _WordHash()
+        for b in batches:
+            ids, words = [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts: dict[bytes, int] = {}
+                order = []
+                for w in text.split():
+                    nth = counts[w] = counts.get(w, 0) + 1
+                    order.append((often.get(w, 0), memo[w], nth))
+                order.sort()
+                first = order[: limit_of(len(order), len(order)) + 1]
+                own = np.frombuffer(b"".join(h for _, h, _ in first), "<u8") + np.array([n - 1 for _, _, n in first], np.uint64) * _MIX
+                ids.append(np.full(len(own), i))
+                words.append(own.view(np.int64))
+            cat = lambda xs: pa.array(np.concatenate(xs) if xs else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([cat(ids), cat(words)], names=["id", "word"])
+
+    return chosen.select("id", "folded").mapInArrow(run, "id long, word long")
+
+
+def _round(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs of pivots and members; and (key, id, n, state, d) of all members."""
+    stars = _stars(buckets)
+    pairs = stars.where(_near_pivot(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    if done is not None:
+        pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    found = _verify(pairs, texts)
+    every = found if done is None else done.unionByName(found)
+    known = stars.join(every, ["a", "b"], "left").select("key", F.col("b").alias("id"), F.col("nb").alias("n"), F.coalesce("state", F.lit(_APART)).alias("state"), "d")
+    return found, written(known, "near-known")
+
+
+def _across(known: DataFrame, words: DataFrame | None) -> DataFrame:
+    """(a, b): ring against inside of each bucket, as far as the triangle inequality and the words allow."""
+    ring = known.where(F.col("state") == _RING).select("key", "id", "n", "d")
+    inside = known.where(F.col("state") == _LINKED).join(ring.select("key").distinct(), "key", "left_semi")
+    on = ["key"]
+    if words is not None:
+        ring, inside, on = ring.join(words, "id"), inside.join(words, "id"), ["key", "word"]
+    inside = inside.select(*on, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
+    close = F.abs(F.col("d") - F.col("dy")) <= F.floor(F.greatest("n", "ny") * F.lit(1 - SIMILARITY) + F.lit(1e-9))
+    both = ring.join(inside, on).where(_alike(F.col("n"), F.col("ny")) & close)
+    return both.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+
+
+def _rest(known: DataFrame) -> DataFrame:
+    """(key, id, n, size): members without the pivot's link, where a bucket has several."""
+    left = known.where(F.col("state") != _LINKED).select("key", "id", "n")
+    return left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+
+
+def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: linked pairs that connect what the buckets connect."""
+    done, known = _round(buckets, texts, None)
+    rest = written(_rest(known).select("key", "id", "n"), "near-rest")
+    ringed = known.join(known.where(F.col("state") == _RING).select("key").distinct(), "key", "left_semi").where(F.col("state") != _APART)
+    words = written(_prefixes(texts, rest.select("id").union(ringed.select("id"))), "near-words")
+    words = written(words.join(words.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word"), "word", "left_semi").select("id", "word"), "near-words")
+    divided = rest.join(words, "id").select(F.xxhash64("key", "word").alias("key"), "id", "n")
+    rest = written(divided.join(divided.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "near-divided")
+    pairs = _across(known, words)
+    while True:
+        small = rest.where(F.col("size") <= SMALL)
+        each = small.join(small.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key")
+        each = each.where((F.col("id") < F.col("b")) & _alike(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b")
+        pairs = pairs.union(each).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
+        done = done.unionByName(_verify(pairs, texts))
+        rest = rest.where(F.col("size") > SMALL).select("key", "id", "n")
+        if rest.isEmpty():
+            break
+        found, known = _round(rest, texts, done)
+        done = done.unionByName(found)
+        pairs = _across(known, None)
+        rest = written(_rest(known), "near-rest")
+    return written(done.where(F.col("state") == _LINKED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+
+
 def _groups(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id of the connected component, for every id that has a link; written tables each round."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
@@ -243,50 +338,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     needed = buckets.select("id").distinct().join(reps.select("id", "rep", "c1", "c2"), "id")
     texts = written(_candidate_texts(source, needed), "near-texts")
-    links, done = None, None
-    rest = buckets
-    divided = False
-    while not rest.isEmpty():
-        stars = _stars(rest)
-        pairs = stars.where(_near_pivot(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        found = _verify(pairs, texts)
-        known = stars.join(found, ["a", "b"], "left").select("key", "a", F.col("b").alias("id"), F.col("nb").alias("n"), F.coalesce("state", F.lit(_APART)).alias("state"), "d")
-        known = written(known, "near-known")
-        new = [found.where(F.col("state") == _LINKED).select("a", "b")]
-        ring, inner = known.where(F.col("state") == _RING), known.where(F.col("state") == _LINKED)
-        if not ring.isEmpty():
-            inside = inner.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
-            close = F.abs(F.col("d") - F.col("dy")) <= F.floor(F.greatest("n", "ny") * F.lit(1 - SIMILARITY) + F.lit(1e-9))
-            across = ring.join(inside, "key").where(_alike(F.col("n"), F.col("ny")) & close)
-            across = across.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
-            new.append(_verify(across, texts).where(F.col("state") == _LINKED).select("a", "b"))
-        left = known.where(F.col("state") != _LINKED).select("key", "id", "n")
-        sizes = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        left = written(left.join(sizes, "key"), "near-rest")
-        small = left.where(F.col("size") <= SMALL)
-        other = small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-        each = small.join(other, "key").where((F.col("id") < F.col("b")) & _alike(F.col("n"), F.col("nb")))
-        each = each.select(F.col("id").alias("a"), "b").distinct()
-        done = found.select("a", "b") if done is None else done.union(found.select("a", "b"))
-        each = each.join(done, ["a", "b"], "left_anti")
-        new.append(_verify(each, texts).where(F.col("state") == _LINKED).select("a", "b"))
-        rest = left.where(F.col("size") > SMALL).select("key", "id", "n")
-        if not divided and not rest.isEmpty():
-            second = rest.join(keys.select("id", F.col("key").alias("key2")), "id").where("key <> key2")
-            again = second.groupBy("key", "key2").agg(F.count("*").alias("size")).where("size > 1")
-            second = second.join(again, ["key", "key2"], "left_semi")
-            rest = written(second.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "id", "n").distinct(), "near-divided")
-            divided = True
-        for part in new:
-            links = part if links is None else links.union(part)
+    links = _links(buckets, texts)
 
     out = first.select("id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
     out = out.select("id", F.xxhash64("c1", "c2").alias("cid"), "rep")
-    if links is None:
-        return out.select(id_back(F.col("id")).alias("doc_id"), id_back(F.col("rep")).alias("class_id"), id_back(F.col("rep")).alias("group_id"), F.lit(0).cast("long").alias("n_links"))
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     roots = _groups(links)
     ids = reps.select("id", "rep")
