@@ -1,4 +1,4 @@
-"""Shared folders, written tables and table reading for the operators of this subpackage."""
+"""Shared folders and written tables for the operators of this subpackage."""
 
 from __future__ import annotations
 
@@ -14,10 +14,6 @@ NULL_ID = -(2**63)
 _written: list[str] = []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)

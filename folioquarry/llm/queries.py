@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioquarry.llm import ann, decontam, licenses, linededup, neardup, sharding, tokenbin, toxicity
-from folioquarry.llm.common import table
+from folioquarry.llm import ann, decontam, licenses, linededup, neardup, pieces, secret_scan, sharding, tokenbin, toxicity
+from folioquarry.session import table
 
 
 def _tokenizer(name: str) -> str:
@@ -16,6 +16,14 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op2_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op3_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +59,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_secret_forest,
+        op2_sentencepiece_transducer,
         op3_cgk_decontamination,
         op4_order_minhash_groups,
         op5_sampled_splitter_shards,

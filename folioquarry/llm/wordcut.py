@@ -34,10 +34,10 @@ _TABLE = np.random.default_rng(64).integers(0, 2**64, _LONGEST * 256, np.uint64)
 class SegmentEncoder:
     """encode(segments) -> list of the bytes of each; whole(text) -> bytes; width: bytes of an id.
 
-    The memo holds two generations of `limit` segments; what the younger one uses survives.
+    Without `whole`, cuts are made before runs of blanks and line feeds only, in every text. The memo holds two generations of `limit` segments; what the younger one uses survives.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], width: int, limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None, width: int, limit: int = 600_000):
         self.encode, self.whole, self.width, self.limit = encode, whole, width, limit
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
@@ -53,9 +53,10 @@ class SegmentEncoder:
         if not len(buf):
             return [np.empty(0, kind) for _ in texts]
         kinds = _KIND[buf]
+        if self.whole is None:
+            kinds[kinds != _SPACE] = _WORD
         odd = kinds == _ODD
-        after = np.flatnonzero((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
-        odd[after] = True
+        odd[1:] |= (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)) & (self.whole is not None)
         sums = np.concatenate([[0], np.cumsum(odd, dtype=np.int64)])
         odd_texts = np.flatnonzero(sums[at[1:]] > sums[at[:-1]])
         for k in odd_texts.tolist():
