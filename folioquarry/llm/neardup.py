@@ -14,15 +14,16 @@ pivot). Distances obey the triangle inequality, so a member beyond twice the lim
 limit; only members in the ring between can. What is left, members without the pivot's link and ring against inside, is
 divided by an exact filter: two texts within the limit share at least (1 - limit) of their words, so in any one order of all
 words they share a word among the first fifth (plus one) of each. The order puts words first that a bounded sample does
-not show as frequent, so texts that merely have a passage in common fall apart. The divided buckets go through pivots
-until at most SMALL members are left in each, which compare each with the others (a constant number). Connected components
-of the links give the groups.
+not show as frequent, so texts that merely have a passage in common fall apart. Texts that links connect already are not
+compared again. Divided buckets of at most SMALL members compare each with the others (a constant number); larger ones go
+through further pivots until that many are left. Connected components of the links give the groups.
 
 Everything but the verification moves ids and hashes only. Texts are shuffled once, of the candidates alone.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +38,9 @@ from folioquarry.llm.fold import folded, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 64, 2
-SMALL = 48
-#: Texts whose words show which words are frequent; the first 16 KB of each.
-SAMPLE = 2_000
+SMALL = 256
+#: About so many texts show which words are frequent, by the first 16 KB of each.
+SAMPLE = 16_000
 _LINKED, _RING, _APART = 0, 1, 2
 _RNG = np.random.default_rng(2019)
 _ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,11 +222,17 @@ def _prefixes(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     chosen = texts.join(ids.select("id").distinct(), "id", "left_semi")
-    seen: dict[bytes, int] = {}
-    for r in chosen.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(SAMPLE).select(F.substring("folded", 1, 1 << 14).alias("t")).collect():
-        for w in set(r["t"].split()):
-            seen[w] = seen.get(w, 0) + 1
-    held = spark.sparkContext.broadcast({w: n for w, n in seen.items() if n > 2})
+    every = max(1, chosen.count() // SAMPLE)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _WordHash()
+        for b in batches:
+            own = [b"".join(map(memo.__getitem__, set(t.split()))) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(own), np.int64))], names=["word"])
+
+    some = chosen.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(every)) == 0).select(F.substring("folded", 1, 1 << 14).alias("folded"))
+    often = some.mapInArrow(hashes, "word long").groupBy("word").agg(F.count("*").alias("n")).where("n > 2")
+    held = spark.sparkContext.broadcast({struct.pack("<q", r["word"]): r["n"] for r in often.collect()})  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, memo = held.value, _WordHash()
@@ -236,7 +243,7 @@ def _prefixes(texts: DataFrame, ids: DataFrame) -> DataFrame:
                 order = []
                 for w in text.split():
                     nth = counts[w] = counts.get(w, 0) + 1
-                    order.append((often.get(w, 0), memo[w], nth))
+                    order.append((often.get(memo[w], 0), memo[w], nth))
                 order.sort()
                 first = order[: limit_of(len(order), len(order)) + 1]
                 own = np.frombuffer(b"".join(h for _, h, _ in first), "<u8") + np.array([n - 1 for _, _, n in first], np.uint64) * _MIX
@@ -262,47 +269,59 @@ def _round(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> tupl
 
 def _across(known: DataFrame, words: DataFrame | None) -> DataFrame:
     """(a, b): ring against inside of each bucket, as far as the triangle inequality and the words allow."""
-    ring = known.where(F.col("state") == _RING).select("key", "id", "n", "d")
+    ring = known.where(F.col("state") == _RING).select("key", "id", "n", "d", "root")
     inside = known.where(F.col("state") == _LINKED).join(ring.select("key").distinct(), "key", "left_semi")
     on = ["key"]
     if words is not None:
         ring, inside, on = ring.join(words, "id"), inside.join(words, "id"), ["key", "word"]
-    inside = inside.select(*on, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
+    inside = inside.select(*on, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("root").alias("other"))
     close = F.abs(F.col("d") - F.col("dy")) <= F.floor(F.greatest("n", "ny") * F.lit(1 - SIMILARITY) + F.lit(1e-9))
-    both = ring.join(inside, on).where(_alike(F.col("n"), F.col("ny")) & close)
+    both = ring.join(inside, on).where((F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("ny")) & close)
     return both.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
 
 
 def _rest(known: DataFrame) -> DataFrame:
-    """(key, id, n, size): members without the pivot's link, where a bucket has several."""
-    left = known.where(F.col("state") != _LINKED).select("key", "id", "n")
+    """(key, id, n, root, size): members without the pivot's link, where a bucket has several."""
+    left = known.where(F.col("state") != _LINKED).select("key", "id", "n", "root")
     return left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
 
 
+def _linked(done: DataFrame) -> DataFrame:
+    found = done.where(F.col("state") == _LINKED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return written(found.distinct(), "near-links")
+
+
 def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b), a < b: linked pairs that connect what the buckets connect."""
     done, known = _round(buckets, texts, None)
-    rest = written(_rest(known).select("key", "id", "n"), "near-rest")
+    roots = _groups(_linked(done)).select("id", "root")
+    known = known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = _rest(known)
+    # members that are connected already need no comparison; a bucket or word that joins nothing new is left out
+    several = lambda df, *key: df.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    rest = written(rest.join(several(rest, "key").select("key"), "key", "left_semi").select("key", "id", "n", "root"), "near-rest")
     ringed = known.join(known.where(F.col("state") == _RING).select("key").distinct(), "key", "left_semi").where(F.col("state") != _APART)
-    words = written(_prefixes(texts, rest.select("id").union(ringed.select("id"))), "near-words")
-    words = written(words.join(words.groupBy("word").agg(F.count("*").alias("k")).where("k > 1").select("word"), "word", "left_semi").select("id", "word"), "near-words")
-    divided = rest.join(words, "id").select(F.xxhash64("key", "word").alias("key"), "id", "n")
-    rest = written(divided.join(divided.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "near-divided")
-    pairs = _across(known, words)
+    ringed = written(ringed.join(several(ringed, "key").select("key"), "key", "left_semi").select("key", "id", "n", "state", "d", "root"), "near-ring")
+    members = rest.select("id", "root").union(ringed.select("id", "root")).distinct()
+    words = written(_prefixes(texts, members).join(members, "id"), "near-words")
+    words = written(words.join(several(words, "word").select("word"), "word", "left_semi").select("id", "word"), "near-words")
+    divided = rest.join(words, "id").select(F.xxhash64("key", "word").alias("key"), "id", "n", "root")
+    rest = written(divided.join(several(divided, "key").select("key", "size"), "key"), "near-divided")
+    pairs = _across(ringed, words)
     while True:
         small = rest.where(F.col("size") <= SMALL)
-        each = small.join(small.select("key", F.col("id").alias("b"), F.col("n").alias("nb")), "key")
-        each = each.where((F.col("id") < F.col("b")) & _alike(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b")
+        each = small.join(small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("other")), "key")
+        each = each.where((F.col("id") < F.col("b")) & (F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b")
         pairs = pairs.union(each).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
         done = done.unionByName(_verify(pairs, texts))
         rest = rest.where(F.col("size") > SMALL).select("key", "id", "n")
         if rest.isEmpty():
-            break
+            return _linked(done)
         found, known = _round(rest, texts, done)
         done = done.unionByName(found)
+        known = known.withColumn("root", F.col("id"))
         pairs = _across(known, None)
         rest = written(_rest(known), "near-rest")
-    return written(done.where(F.col("state") == _LINKED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
 
 
 def _groups(links: DataFrame) -> DataFrame:
