@@ -15,8 +15,8 @@ limit; only members in the ring between can. What is left, members without the p
 divided by an exact filter: two texts within the limit share at least (1 - limit) of their words, so in any one order of all
 words they share a word among the first fifth (plus one) of each. The order puts words first that a bounded sample does
 not show as frequent, so texts that merely have a passage in common fall apart. Texts that links connect already are not
-compared again. Divided buckets of at most SMALL members compare each with the others (a constant number); larger ones go
-through further pivots until that many are left. Connected components of the links give the groups.
+compared again. Words with at most SMALL such texts set them side by side, each pair once; more frequent ones go through
+further pivots until that many are left. Connected components of the links give the groups.
 
 Everything but the verification moves ids and hashes only. Texts are shuffled once, of the candidates alone.
 """
@@ -33,14 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import NULL_ID, id_back, id_key, written
+from folioquarry.llm.common import NULL_ID, discard, id_back, id_key, written
 from folioquarry.llm.fold import folded, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 64, 2
-SMALL = 256
+SMALL = 4096
 #: About so many texts show which words are frequent, by the first 16 KB of each.
 SAMPLE = 16_000
+BROADCAST_ROWS = 1_000_000
 _LINKED, _RING, _APART = 0, 1, 2
 _RNG = np.random.default_rng(2019)
 _ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -166,11 +167,15 @@ def banded(a: list[bytes], b: list[bytes], k: int) -> int:
     return score if score <= k else k + 1
 
 
-def relate(a: bytes, b: bytes) -> tuple[int, int]:
-    """How a pivot a and a member b stand: (_LINKED, _RING or _APART; their distance, or one more than was looked for)."""
+def relate(a: bytes, b: bytes, ring: bool = True) -> tuple[int, int]:
+    """How a pivot a and a member b stand: (_LINKED, _RING or _APART; their distance, or one more than was looked for).
+
+    Without `ring`, all that are not linked are apart.
+    """
     x, y = a.split(), b.split()
     near = limit_of(len(x), len(y))
     far = int(0.25 * len(x) + (1 - SIMILARITY) * max(len(y), 1.25 * len(x))) + 1  # beyond it nothing inside the limit of a links to b
+    far = far if ring else near
     counts: dict[bytes, int] = {}
     for w in x:
         counts[w] = counts.get(w, 0) + 1
@@ -185,12 +190,12 @@ def relate(a: bytes, b: bytes) -> tuple[int, int]:
     return (_LINKED if d <= near else _RING if d <= far else _APART), d
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, ring: bool = False) -> DataFrame:
     """(a, b, state, d) of pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [relate(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            got = [relate(x, y, ring) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in got], pa.int32()), pa.array([d for _, d in got], pa.int32())], names=["a", "b", "state", "d"])
 
     left = texts.select(F.col("id").alias("a"), F.col("folded").alias("fa"))
@@ -261,25 +266,12 @@ def _round(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> tupl
     pairs = stars.where(_near_pivot(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     if done is not None:
         pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    found = _verify(pairs, texts)
+    found = _verify(pairs, texts, True)
     every = found if done is None else done.unionByName(found)
     known = stars.join(every, ["a", "b"], "left").select("key", F.col("b").alias("id"), F.col("nb").alias("n"), F.coalesce("state", F.lit(_APART)).alias("state"), "d")
     return found, written(known, "near-known")
 
 
-def _across(known: DataFrame, words: DataFrame | None) -> DataFrame:
-    """(a, b): ring against inside of each bucket, as far as the triangle inequality and the words allow."""
-    ring = known.where(F.col("state") == _RING).select("key", "id", "n", "d", "root")
-    inside = known.where(F.col("state") == _LINKED).join(ring.select("key").distinct(), "key", "left_semi")
-    on = ["key"]
-    if words is not None:
-        ring, inside, on = ring.join(words, "id"), inside.join(words, "id"), ["key", "word"]
-    inside = inside.select(*on, F.col("id").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("root").alias("other"))
-    close = F.abs(F.col("d") - F.col("dy")) <= F.floor(F.greatest("n", "ny") * F.lit(1 - SIMILARITY) + F.lit(1e-9))
-    both = ring.join(inside, on).where((F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("ny")) & close)
-    return both.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
-
-
 def _rest(known: DataFrame) -> DataFrame:
     """(key, id, n, root, size): members without the pivot's link, where a bucket has several."""
     left = known.where(F.col("state") != _LINKED).select("key", "id", "n", "root")
@@ -305,23 +297,49 @@ def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     members = rest.select("id", "root").union(ringed.select("id", "root")).distinct()
     words = written(_prefixes(texts, members).join(members, "id"), "near-words")
     words = written(words.join(several(words, "word").select("word"), "word", "left_semi").select("id", "word"), "near-words")
-    divided = rest.join(words, "id").select(F.xxhash64("key", "word").alias("key"), "id", "n", "root")
-    rest = written(divided.join(several(divided, "key").select("key", "size"), "key"), "near-divided")
-    pairs = _across(ringed, words)
-    while True:
-        small = rest.where(F.col("size") <= SMALL)
-        each = small.join(small.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("other")), "key")
-        each = each.where((F.col("id") < F.col("b")) & (F.col("root") != F.col("other")) & _alike(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b")
-        pairs = pairs.union(each).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        done = done.unionByName(_verify(pairs, texts))
-        rest = rest.where(F.col("size") > SMALL).select("key", "id", "n")
-        if rest.isEmpty():
-            return _linked(done)
+    # ring against inside first: what that connects need not be set side by side any more
+    ring = _entries(ringed.where(F.col("state") == _RING), words)
+    inside = _entries(ringed.where(F.col("state") == _LINKED), words)
+    done = done.unionByName(_verify(_unverified(_together(ring, inside, False), done), texts))
+    roots = _groups(_linked(done)).select("id", F.col("root").alias("now"))
+    rest = rest.join(roots, "id", "left").select("key", "id", "n", F.coalesce("now", "root").alias("root"))
+    entries = _entries(rest, words)
+    entries = written(entries.join(several(entries, "word").select("word", "size"), "word"), "near-entries")
+    small = entries.where(F.col("size") <= SMALL)
+    done = done.unionByName(_verify(_unverified(_together(small, small, True), done), texts))
+    rest = entries.where(F.col("size") > SMALL).select(F.col("word").alias("key"), "id", "n")
+    while not rest.isEmpty():
         found, known = _round(rest, texts, done)
         done = done.unionByName(found)
-        known = known.withColumn("root", F.col("id"))
-        pairs = _across(known, None)
-        rest = written(_rest(known), "near-rest")
+        known = known.withColumns({"root": F.col("id"), "word": F.col("key"), "keys": F.array("key"), "words": F.array("key")})
+        ring, inside = (known.where(F.col("state") == k) for k in (_RING, _LINKED))
+        left = written(_rest(known).withColumns({"word": F.col("key"), "keys": F.array("key"), "words": F.array("key")}), "near-rest")
+        small = left.where(F.col("size") <= SMALL)
+        done = done.unionByName(_verify(_unverified(_together(ring, inside, False).union(_together(small, small, True)).distinct(), done), texts))
+        rest = left.where(F.col("size") > SMALL).select("key", "id", "n")
+    return _linked(done)
+
+
+def _unverified(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _entries(members: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, id, n, root, keys, words): a row for each chosen word of each text among (key, id, n, root)."""
+    own = members.groupBy("id").agg(F.min("n").alias("n"), F.min("root").alias("root"), F.collect_set("key").alias("keys"))  # SKETCHES keys at most
+    own = own.join(words.groupBy("id").agg(F.collect_set("word").alias("words")), "id")
+    return words.join(own, "id")
+
+
+def _together(e: DataFrame, f: DataFrame, same: bool) -> DataFrame:
+    """(a, b) of texts that share a word and a sketch and are not connected: each pair once, at its smallest common word."""
+    e = e.select("word", "id", "n", "root", "keys", "words")
+    f = f.select("word", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "root", "keys", "words")])
+    fits = (F.col("root") != F.col("root_")) & _alike(F.col("n"), F.col("n_")) & F.arrays_overlap("keys", "keys_")
+    once = F.col("word") == F.array_min(F.array_intersect("words", "words_"))
+    both = e.join(f, "word").where(fits & once & ((F.col("id") < F.col("id_")) if same else F.lit(True)))
+    pairs = both.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
+    return pairs if same else pairs.distinct()  # two texts can be in each other's ring
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -350,17 +368,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     first = written(_first_pass(source), "near-sketches")
     classes = written(first.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "near-classes")
     of_class = first.select("id", "c1", "c2", "sketch").join(classes, ["c1", "c2"])
+    rows = written(of_class.select("id", F.xxhash64("c1", "c2").alias("cid"), "rep"), "near-rows")
     reps = written(of_class.where("id = rep AND n > 0").dropDuplicates(["c1", "c2"]).select(F.xxhash64("c1", "c2").alias("id"), "rep", "n", "c1", "c2", "sketch"), "near-reps")
+    discard(first, classes)
     keys = reps.select("id", "n", F.explode("sketch").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = written(keys.join(often, "key", "left_semi").select("key", "id", "n"), "near-buckets")
 
-    needed = buckets.select("id").distinct().join(reps.select("id", "rep", "c1", "c2"), "id")
+    needed = written(buckets.select("id").distinct().join(reps.select("id", "rep", "c1", "c2"), "id"), "near-needed")
     texts = written(_candidate_texts(source, needed), "near-texts")
     links = _links(buckets, texts)
 
-    out = first.select("id", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
-    out = out.select("id", F.xxhash64("c1", "c2").alias("cid"), "rep")
+    out = rows
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     roots = _groups(links)
     ids = reps.select("id", "rep")
@@ -385,6 +404,8 @@ def _candidate_texts(source: DataFrame, needed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["id", "folded"])
 
     wanted = needed.select(F.col("id").alias("cid"), F.col("rep").alias("id"), "c1", "c2")
+    if needed.count() <= BROADCAST_ROWS:  # 32 bytes each; beyond that, both sides are shuffled
+        wanted = F.broadcast(wanted)
     return source.join(wanted, "id").select("cid", "text", "c1", "c2").mapInArrow(run, "id long, folded binary").dropDuplicates(["id"])
 
 
