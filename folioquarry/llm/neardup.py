@@ -223,6 +223,8 @@ def _stars(buckets: DataFrame) -> DataFrame:
 def _prefixes(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, word): of the chosen texts, the first limit + 1 words in one order of all words, repeats told apart.
 
+    Words (and sketches, further on) are known by 32 bits; where two meet by chance, a pair more is verified.
+
     The order is by the number of texts of a bounded sample that hold the word, then by hash; it does not affect results.
     """
     spark = texts.sparkSession
@@ -253,11 +255,11 @@ def _prefixes(texts: DataFrame, ids: DataFrame) -> DataFrame:
                 first = order[: limit_of(len(order), len(order)) + 1]
                 own = np.frombuffer(b"".join(h for _, h, _ in first), "<u8") + np.array([n - 1 for _, _, n in first], np.uint64) * _MIX
                 ids.append(np.full(len(own), i))
-                words.append(own.view(np.int64))
-            cat = lambda xs: pa.array(np.concatenate(xs) if xs else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([cat(ids), cat(words)], names=["id", "word"])
+                words.append((own >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else [], t)
+            yield pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(words, pa.int32())], names=["id", "word"])
 
-    return chosen.select("id", "folded").mapInArrow(run, "id long, word long")
+    return chosen.select("id", "folded").mapInArrow(run, "id long, word int")
 
 
 def _round(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +328,7 @@ def _unverified(pairs: DataFrame, done: DataFrame) -> DataFrame:
 
 def _entries(members: DataFrame, words: DataFrame) -> DataFrame:
     """(word, id, n, root, keys, words): a row for each chosen word of each text among (key, id, n, root)."""
-    own = members.groupBy("id").agg(F.min("n").alias("n"), F.min("root").alias("root"), F.collect_set("key").alias("keys"))  # SKETCHES keys at most
+    own = members.groupBy("id").agg(F.min("n").alias("n"), F.min("root").alias("root"), F.collect_set(F.shiftright("key", 32).cast("int")).alias("keys"))  # SKETCHES keys at most
     own = own.join(words.groupBy("id").agg(F.collect_set("word").alias("words")), "id")
     return words.join(own, "id")
 
