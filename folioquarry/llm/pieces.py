@@ -39,7 +39,7 @@ _UNIGRAM, _BPE = 1, 2
 _SPACE = "▁"
 _UNKNOWN_COST = 10.0
 #: Verdicts on pairs that a worker keeps.
-MOST_PAIRS = 600_000
+MOST_PAIRS = 250_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -184,7 +184,7 @@ def _coder(path: str) -> tuple[Machine, SegmentEncoder]:
         machine = Machine(f.read())
     width = 2 if len(machine.pieces) <= 1 << 16 else 4
     code = {2: "H", 4: "I"}[width]
-    return machine, SegmentEncoder(lambda words: [array(code, machine.encode_segment(w)).tobytes() for w in words], None, width, 500_000)
+    return machine, SegmentEncoder(lambda words: [array(code, machine.encode_segment(w)).tobytes() for w in words], None, width, 250_000)
 
 
 def encode_texts(texts: list[str | None], model: str) -> list[np.ndarray]:
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for _, texts in slices(b.column(1).to_pylist(), 2 << 20):
+            for _, texts in slices(b.column(1).to_pylist()):
                 ids = encode_texts(texts, model)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -230,7 +230,7 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
         is_byte = np.array([k == _BYTE for k in machine.kinds])
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for _, texts in slices(b.column(1).to_pylist(), 2 << 20):
+            for _, texts in slices(b.column(1).to_pylist()):
                 for text, ids in zip(texts, encode_texts(texts, model), strict=True):
                     out[0].append(len(ids))
                     out[1].append(zlib.crc32(ids.astype("<u4").tobytes()))

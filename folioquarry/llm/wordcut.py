@@ -37,7 +37,7 @@ class SegmentEncoder:
     Without `whole`, cuts are made before runs of blanks and line feeds only, in every text. The memo holds two generations of `limit` segments; what the younger one uses survives.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None, width: int, limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None, width: int, limit: int = 300_000):
         self.encode, self.whole, self.width, self.limit = encode, whole, width, limit
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
