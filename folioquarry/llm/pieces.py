@@ -39,7 +39,7 @@ _UNIGRAM, _BPE = 1, 2
 _SPACE = "▁"
 _UNKNOWN_COST = 10.0
 #: Verdicts on pairs that a worker keeps.
-MOST_PAIRS = 250_000
+MOST_PAIRS = 400_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,6 +97,7 @@ class Machine:
         self.unknown = next((k for k, kind in enumerate(self.kinds) if kind == _UNKNOWN), 0)
         self.longest = max(map(len, self.id_of), default=1)
         self.fallback_cost = max([c for c, k in zip(self.costs, self.kinds, strict=True) if k == _NORMAL], default=0.0) + _UNKNOWN_COST
+        self.arcs = {p[:k]: False for p in self.id_of for k in range(1, len(p))} | dict.fromkeys(self.id_of, True)  # the beginnings of pieces
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.text_of = [p.replace(_SPACE, " ").encode() if k in (_NORMAL, _USER, _UNUSED) else bytes([int(p[3:5], 16)]) if k == _BYTE else b" \xe2\x81\x87 " if k == _UNKNOWN else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
@@ -133,20 +134,20 @@ class Machine:
         n, ids, longest = len(text), self.id_of, self.longest
         last: list[str | None] = [""] + [None] * n
         if self.merges:
-            pairs, follows = self.pairs, self.follows
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    before = last[start]
-                    if before is None:
-                        continue
+            arcs, pairs, follows = self.arcs, self.pairs, self.follows
+            after: list[dict | None] = [pairs.setdefault("", {})] + [None] * n
+            for start in range(n):
+                allowed = after[start]
+                for end in range(start + 1, min(n, start + longest) + 1):
                     piece = text[start:end]
-                    if piece in ids or start == end - 1:
-                        ok = pairs[before].get(piece) if before in pairs else None
-                        if ok is None:
-                            ok = follows(before, piece)
-                        if ok:
+                    whole = arcs.get(piece)
+                    if whole is None and end > start + 1:
+                        break  # no piece begins like this
+                    if last[end] is None and (whole or end == start + 1):
+                        ok = allowed.get(piece)
+                        if ok or ok is None and follows(last[start], piece):
                             last[end] = piece
-                            break
+                            after[end] = pairs.setdefault(piece, {})
         else:
             cost = [0.0] + [float("inf")] * n
             for end in range(1, n + 1):
