@@ -47,8 +47,13 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         _delete(t.sparkSession, t._written_to)
         _written.remove(t._written_to)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark drop the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap fills."""
     gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import NULL_ID, discard, id_back, id_key, written
+from folioquarry.llm.common import NULL_ID, discard, id_back, id_key, release, written
 from folioquarry.llm.fold import folded, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -201,7 +201,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, ring: bool = False) -> DataFrame
     left = texts.select(F.col("id").alias("a"), F.col("folded").alias("fa"))
     right = texts.select(F.col("id").alias("b"), F.col("folded").alias("fb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb")
-    return written(both.mapInArrow(run, "a long, b long, state int, d int"), "near-verified")
+    out = written(both.mapInArrow(run, "a long, b long, state int, d int"), "near-verified")
+    release(pairs.sparkSession)
+    return out
 
 
 def _alike(n: Column, m: Column) -> Column:
@@ -297,8 +299,9 @@ def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     ringed = known.join(known.where(F.col("state") == _RING).select("key").distinct(), "key", "left_semi").where(F.col("state") != _APART)
     ringed = written(ringed.join(several(ringed, "key").select("key"), "key", "left_semi").select("key", "id", "n", "state", "d", "root"), "near-ring")
     members = rest.select("id", "root").union(ringed.select("id", "root")).distinct()
-    words = written(_prefixes(texts, members).join(members, "id"), "near-words")
-    words = written(words.join(several(words, "word").select("word"), "word", "left_semi").select("id", "word"), "near-words")
+    by_word = W.partitionBy("word")
+    words = _prefixes(texts, members).join(members, "id").withColumns({"lo": F.min("root").over(by_word), "hi": F.max("root").over(by_word)})
+    words = written(words.where("lo < hi").select("id", "word"), "near-words")
     # ring against inside first: what that connects need not be set side by side any more
     ring = _entries(ringed.where(F.col("state") == _RING), words)
     inside = _entries(ringed.where(F.col("state") == _LINKED), words)
@@ -306,7 +309,9 @@ def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     roots = _groups(_linked(done)).select("id", F.col("root").alias("now"))
     rest = rest.join(roots, "id", "left").select("key", "id", "n", F.coalesce("now", "root").alias("root"))
     entries = _entries(rest, words)
-    entries = written(entries.join(several(entries, "word").select("word", "size"), "word"), "near-entries")
+    entries = entries.withColumns({"lo": F.min("root").over(by_word), "hi": F.max("root").over(by_word), "size": F.count("*").over(by_word)})
+    entries = written(entries.where("lo < hi").drop("lo", "hi"), "near-entries")
+    release(texts.sparkSession)
     small = entries.where(F.col("size") <= SMALL)
     done = done.unionByName(_verify(_unverified(_together(small, small, True), done), texts))
     rest = entries.where(F.col("size") > SMALL).select(F.col("word").alias("key"), "id", "n")
@@ -373,12 +378,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = written(of_class.select("id", F.xxhash64("c1", "c2").alias("cid"), "rep"), "near-rows")
     reps = written(of_class.where("id = rep AND n > 0").dropDuplicates(["c1", "c2"]).select(F.xxhash64("c1", "c2").alias("id"), "rep", "n", "c1", "c2", "sketch"), "near-reps")
     discard(first, classes)
-    keys = reps.select("id", "n", F.explode("sketch").alias("key"))
+    keys = reps.select("id", F.explode("sketch").alias("key"))
     often = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    buckets = written(keys.join(often, "key", "left_semi").select("key", "id", "n"), "near-buckets")
+    buckets = written(keys.join(often, "key", "left_semi").join(reps.select("id", "n"), "id").select("key", "id", "n"), "near-buckets")
+    release(docs.sparkSession)
 
     needed = written(buckets.select("id").distinct().join(reps.select("id", "rep", "c1", "c2"), "id"), "near-needed")
     texts = written(_candidate_texts(source, needed), "near-texts")
+    release(docs.sparkSession)
     links = _links(buckets, texts)
 
     out = rows
