@@ -11,12 +11,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: What a Python worker gets at once.
+BATCH_BYTES = 8 << 20
 _HERE = Path(__file__).resolve().parent
 
 
 def ship(spark: SparkSession) -> None:
-    """Puts this package on the import path of the session's workers, once for each Spark context."""
+    """Puts this package on the import path of the session's workers, once for each Spark context, and bounds their batches."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) == _DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))  # long texts: fewer rows a batch
     if getattr(sc, "_folioquarry_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="folioquarry-")
