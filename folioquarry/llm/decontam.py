@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import id_key
+from folioquarry.llm.common import id_key, written
 from folioquarry.llm.fold import folded, slices
 
 SIMILARITY = 0.8
 STEPS, SAMPLED, REPEATS = 48, 12, 2
 CHUNK_BYTES = 16 << 20
+BROADCAST_ROWS = 1_000_000
 _FILTER_BITS = 20
 _LEAK = "doc_id long, item_id long, distance int, similarity double, start int, stop int"
 
@@ -214,6 +215,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold an item; all rows of such an id go, a null id like any other."""
-    found = find_leaks(docs, benchmark).select(id_key().alias("_leak")).distinct()
+    found = written(find_leaks(docs, benchmark).select(id_key().alias("_leak")).distinct(), "leaks")
+    if found.count() <= BROADCAST_ROWS:  # 8 bytes each; beyond that, both sides are shuffled
+        found = F.broadcast(found)
     keyed = docs.select(F.struct("*").alias("row"), id_key().alias("_id"))
     return keyed.join(found, F.col("_id") == F.col("_leak"), "left_anti").select("row.*")

@@ -365,7 +365,7 @@ def _groups(links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest id with the same words), group_id (smallest id linked), n_links.
+    """One row per input row: doc_id, copy_id (smallest id with the same words), class_id (smallest id linked), n_links.
 
     n_links counts the different texts that the class of a row is linked to by verified pairs. Texts without a word (null,
     empty, punctuation) are one class. Repeated rows and ids give repeated rows; a null id is kept and sorts first; an
@@ -396,7 +396,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     lowest = named.groupBy("root").agg(F.min("rep").alias("group"))
     info = named.join(lowest, "root").join(degree, named.id == degree.a).select(F.col("id").alias("cid"), "group", "n_links")
     out = out.join(info, "cid", "left")
-    return out.select(id_back(F.col("id")).alias("doc_id"), id_back(F.col("rep")).alias("class_id"), id_back(F.coalesce("group", "rep")).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(id_back(F.col("id")).alias("doc_id"), id_back(F.col("rep")).alias("copy_id"), id_back(F.coalesce("group", "rep")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _candidate_texts(source: DataFrame, needed: DataFrame) -> DataFrame:
@@ -420,7 +420,7 @@ def _candidate_texts(source: DataFrame, needed: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group: that of the group's smallest id; where that id has several rows, its smallest text."""
-    groups = written(near_groups(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.coalesce("group_id", F.lit(NULL_ID)).alias("_group")), "near-groups")
+    groups = written(near_groups(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.coalesce("class_id", F.lit(NULL_ID)).alias("_group")), "near-groups")
     rows = docs.select(F.struct("*").alias("row"), id_key().alias("_id"))
     chosen = groups.where("_id = _group").groupBy("_id").agg(F.count("*").alias("n"))
     out = rows.join(chosen.where("n = 1"), "_id", "left_semi").select("row")

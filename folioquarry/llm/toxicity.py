@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from folioquarry.llm.fold import folded, slices
 
-POSITIVES, UNLABELLED, SAMPLE_BYTES = 4_000, 10_000, 96 << 20
+POSITIVES, UNLABELLED, SAMPLE_BYTES = 2_500, 8_000, 64 << 20
 LENGTHS = (6, 8)
 FEATURES, MIN_POSITIVES, MIN_Z = 600, 5, 7.0
 MODELS, EPOCHS, BATCH, RATE, DECAY = 3, 30, 512, 0.05, 1e-5

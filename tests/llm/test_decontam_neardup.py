@@ -154,7 +154,7 @@ def copies(rng):
 def test_groups(spark):
     rows = copies(random.Random(8))
     got = neardup.near_groups(frame(spark, rows)).collect()
-    assert Counter((r["doc_id"], r["group_id"]) for r in got) == brute_groups(rows)
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == brute_groups(rows)
     kept = neardup.keep_one(frame(spark, rows))
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids, key=str) == sorted({g for _, g in brute_groups(rows)}, key=str) and kept.columns == frame(spark, []).columns
@@ -163,7 +163,7 @@ def test_groups(spark):
 def test_groups_of_the_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = neardup.near_groups(frame(spark, rows)).collect()
-    assert Counter((r["doc_id"], r["group_id"]) for r in got) == brute_groups(rows)
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == brute_groups(rows)
 
 
 @pytest.mark.parametrize("small", [1, 4])
@@ -175,7 +175,7 @@ def test_hot_buckets_go_through_pivots(spark, small, monkeypatch):
         own = prose(rng, 25)
         rows += [(len(rows) + k, " ".join([*shared, *own[:24], f"copy{k}"])) for k in range(5)]
     got = neardup.near_groups(frame(spark, rows)).collect()
-    assert Counter((r["doc_id"], r["group_id"]) for r in got) == brute_groups(rows)
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == brute_groups(rows)
 
 
 def test_no_rows(spark):
