@@ -350,18 +350,25 @@ def _together(e: DataFrame, f: DataFrame, same: bool) -> DataFrame:
 
 
 def _groups(links: DataFrame) -> DataFrame:
-    """(id, root): the smallest id of the connected component, for every id that has a link; written tables each round."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "near-edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("id"), "root"), "near-labels")
+    """(id, root): the smallest id of the connected component, for every id that has a link.
+
+    Each round every id goes to the smallest of itself and its neighbours, and edges are drawn between those; what has become
+    one point has no edge any more, so a hot group is gone after the first round. Rounds are written tables.
+    """
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
+    edges = written(edges, "near-edges")
+    where = None
     while True:
-        seen = edges.join(labels.select(F.col("id").alias("b"), F.col("root").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        lower = labels.join(seen, labels.id == seen.a).select("id", F.col("root").alias("was"), F.least("root", "other").alias("root"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        after = lower.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("next", "root")).alias("root"))
-        after = written(after, "near-labels")
-        labels = after.select("id", "root")
-        if after.where("root <> was").isEmpty():
-            return labels
+        step = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")), "near-step")
+        if where is None:
+            where = step.select(F.col("u").alias("id"), F.col("to").alias("root"))
+        else:
+            moved = where.join(step, where.root == step.u, "left")
+            where = written(moved.select("id", F.coalesce("to", "root").alias("root")), "near-labels")
+        edges = edges.join(step, "u").select("v", F.col("to").alias("from")).join(step.select(F.col("u").alias("v"), "to"), "v")
+        edges = written(edges.where("from <> to").select(F.col("from").alias("u"), F.col("to").alias("v")).distinct(), "near-edges")
+        if edges.isEmpty():
+            return where
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
