@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import NULL_ID, discard, id_back, id_key, release, written
+from folioquarry.llm.common import discard, id_back, id_key, release, written
 from folioquarry.llm.fold import folded, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -46,7 +46,7 @@ _LINKED, _RING, _APART = 0, 1, 2
 _RNG = np.random.default_rng(2019)
 _ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_PASS = "id long, c1 long, c2 long, n int, sketch array<long>"
+_PASS = "id long, own long, c1 long, c2 long, n int, sketch array<long>"
 
 
 class _WordHash(dict):
@@ -117,7 +117,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(c1), signed(c2), pa.array(n, pa.int32()), lists], names=["id", "c1", "c2", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), signed(c1), signed(c2), pa.array(n, pa.int32()), lists], names=["id", "own", "c1", "c2", "n", "sketch"])
 
     return docs.mapInArrow(run, _PASS)
 
@@ -378,11 +378,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     empty, punctuation) are one class. Repeated rows and ids give repeated rows; a null id is kept and sorts first; an
     empty table gives an empty result; other columns are not read.
     """
-    source = docs.select(id_key().alias("id"), "text")
+    out = _grouped(docs)
+    return out.select(id_back(F.col("id")).alias("doc_id"), id_back(F.col("rep")).alias("copy_id"), id_back(F.coalesce("group", "rep")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """One row per input row: id, own (hash of its text), rep and group (ids, as in near_groups), n_links, root.
+
+    Ids can stand for several texts or be null; root is the class of words that stands for the whole component.
+    """
+    source = docs.select(id_key().alias("id"), "text", F.xxhash64("text").alias("own"))
     first = written(_first_pass(source), "near-sketches")
     classes = written(first.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "near-classes")
-    of_class = first.select("id", "c1", "c2", "sketch").join(classes, ["c1", "c2"])
-    rows = written(of_class.select("id", F.xxhash64("c1", "c2").alias("cid"), "rep"), "near-rows")
+    of_class = first.select("id", "own", "c1", "c2", "sketch").join(classes, ["c1", "c2"])
+    rows = written(of_class.select("id", "own", F.xxhash64("c1", "c2").alias("cid"), "rep"), "near-rows")
     reps = written(of_class.where("id = rep AND n > 0").dropDuplicates(["c1", "c2"]).select(F.xxhash64("c1", "c2").alias("id"), "rep", "n", "c1", "c2", "sketch"), "near-reps")
     discard(first, classes)
     keys = reps.select("id", F.explode("sketch").alias("key"))
@@ -391,19 +400,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
 
     needed = written(buckets.select("id").distinct().join(reps.select("id", "rep", "c1", "c2"), "id"), "near-needed")
-    texts = written(_candidate_texts(source, needed), "near-texts")
+    texts = written(_candidate_texts(source.select("id", "text"), needed), "near-texts")
     release(docs.sparkSession)
     links = _links(buckets, texts)
 
-    out = rows
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     roots = _groups(links)
     ids = reps.select("id", "rep")
     named = roots.join(ids, "id")
     lowest = named.groupBy("root").agg(F.min("rep").alias("group"))
-    info = named.join(lowest, "root").join(degree, named.id == degree.a).select(F.col("id").alias("cid"), "group", "n_links")
-    out = out.join(info, "cid", "left")
-    return out.select(id_back(F.col("id")).alias("doc_id"), id_back(F.col("rep")).alias("copy_id"), id_back(F.coalesce("group", "rep")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    info = named.join(lowest, "root").join(degree, named.id == degree.a).select(F.col("id").alias("cid"), "root", "group", "n_links")
+    return rows.join(info, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
 def _candidate_texts(source: DataFrame, needed: DataFrame) -> DataFrame:
@@ -426,14 +433,15 @@ def _candidate_texts(source: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: that of the group's smallest id; where that id has several rows, its smallest text."""
-    groups = written(near_groups(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), F.coalesce("class_id", F.lit(NULL_ID)).alias("_group")), "near-groups")
-    rows = docs.select(F.struct("*").alias("row"), id_key().alias("_id"))
-    chosen = groups.where("_id = _group").groupBy("_id").agg(F.count("*").alias("n"))
-    out = rows.join(chosen.where("n = 1"), "_id", "left_semi").select("row")
+    """docs with one row of each component: that of its smallest id, then of the smallest hash of its text; of equal rows one."""
+    counts = _grouped(docs).groupBy("root", "id", "own").agg(F.count("*").alias("n"))
+    chosen = counts.groupBy("root").agg(F.min(F.struct("id", "own", "n")).alias("k"))
+    chosen = written(chosen.select(F.col("k.id").alias("_id"), F.col("k.own").alias("_own"), F.col("k.n").alias("n")), "near-chosen")
+    rows, key = docs.select(F.struct("*").alias("row"), id_key().alias("_id"), F.xxhash64("text").alias("_own")), ["_id", "_own"]
+    out = rows.join(chosen.where("n = 1"), key, "left_semi").select("row")
     several = chosen.where("n > 1")
     if not several.isEmpty():
-        nth = F.row_number().over(W.partitionBy("_id").orderBy("row.text"))
-        more = rows.join(several, "_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").select("row")
+        nth = F.row_number().over(W.partitionBy(*key).orderBy("row.text"))
+        more = rows.join(several, key, "left_semi").withColumn("_nth", nth).where("_nth = 1").select("row")
         out = out.unionByName(more)
     return out.select("row.*")

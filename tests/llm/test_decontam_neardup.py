@@ -180,3 +180,13 @@ def test_hot_buckets_go_through_pivots(spark, small, monkeypatch):
 
 def test_no_rows(spark):
     assert neardup.near_groups(frame(spark, [])).count() == 0 == neardup.keep_one(frame(spark, [])).count()
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(10)
+    texts = [" ".join(prose(rng, 40)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[1].upper()), (7, texts[2]), (7, texts[3]), (8, texts[4])]
+    rows += [(9, texts[4] + " so"), (9, texts[5]), (8, None), (None, "")]  # id 9 holds a near copy of 8 and a text of its own
+    kept = neardup.keep_one(frame(spark, rows)).collect()
+    words = Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept)
+    assert words == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5]), (None, "")])
