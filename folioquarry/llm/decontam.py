@@ -6,12 +6,16 @@ edit distance becomes Hamming distance between the emitted strings. One hash fun
 positions of a walk; REPEATS walks with bits of their own raise the recall.
 
 Windows begin at every word, in the items and in the documents alike; the sampled positions lie in the first STEPS steps
-of a walk, so they cost the same for items of any size. As every word of an item begins a window, one stretch of about
-STEPS / 2 characters without an edit (or with a few that the walk survives) finds the item; with 40 words an item, one
-word in five changed leaves more than 0.99 of such chances. A hit puts an item-sized window over the document, which Myers'
-bit-parallel algorithm verifies exactly: the item matches if its edit distance to some substring is at most
+of a walk, so they cost the same for items of any size. One stretch of about STEPS / 2 characters without an edit (or with
+a few that the walk survives) finds the item. A hit puts an item-sized window over the document,
+which Myers' bit-parallel algorithm verifies exactly: the item matches if its edit distance to some substring is at most
 (1 - SIMILARITY) of its length. Distances are over folded text (see fold.py), in bytes.
 
+Items of at most SHORT bytes have too few such stretches; they are looked for everywhere, without hashing and without
+loss. A substring within the limit k of an item of m bytes shares m - 2 - 3k of its trigrams; blocks of the documents with
+fewer in every window are left out. In the others Myers' algorithm runs over many blocks at once, for the whole item or,
+beyond 64 bytes, for its halves, one of which has half the edits at most. The time for it grows with the number of short items.
+
 Documents are read once and never shuffled. The items travel in chunks of CHUNK_BYTES (measured first), with one pass over
 the documents for each chunk.
 """
@@ -31,7 +35,8 @@ from folioquarry.llm.common import id_key, written
 from folioquarry.llm.fold import folded, slices
 
 SIMILARITY = 0.8
-STEPS, SAMPLED, REPEATS = 48, 12, 2
+STEPS, SAMPLED, REPEATS = 48, 12, 4
+SHORT, BLOCK, LANES = 100, 256, 1 << 15
 CHUNK_BYTES = 16 << 20
 BROADCAST_ROWS = 1_000_000
 _FILTER_BITS = 20
@@ -73,6 +78,82 @@ class Family:
     filters: list[np.ndarray] = field(default_factory=list)
 
 
+@dataclass
+class Part:
+    """A stretch of at most 64 bytes of a short item that ends at `stop`: its Myers masks, and how many edits it may have."""
+
+    masks: np.ndarray
+    size: int
+    most: int
+    stop: int
+
+
+class Short:
+    """A short item: its parts, of which one is within its limit wherever the item is, and its trigrams."""
+
+    def __init__(self, item: int, text: bytes):
+        self.item, self.size = item, len(text)
+        self.most = int((1 - SIMILARITY) * self.size + 1e-9)
+        cuts = [0, self.size] if self.size <= 64 else [0, self.size // 2, self.size]
+        self.parts = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            masks = np.zeros(256, np.uint64)
+            for k, c in enumerate(text[a:b]):
+                masks[c] |= np.uint64(1 << k)
+            self.parts.append(Part(masks, b - a, self.most // (len(cuts) - 1), b))
+        self.has = np.zeros(1 << 16, np.uint8)
+        if self.size >= 3:
+            self.has[_trigrams(np.frombuffer(text, np.uint8))] = 1
+
+    def blocks(self, grams: np.ndarray, size: int) -> np.ndarray:
+        """The blocks of BLOCK bytes in which a substring within the limit can begin."""
+        every = -(-size // BLOCK)
+        least, long = self.size - 2 - 3 * self.most, self.size + self.most - 2
+        if least <= 0:
+            return np.arange(every)
+        sums = np.cumsum(self.has[grams], dtype=np.int32)
+        enough = np.zeros(every * BLOCK, bool)
+        enough[0] = sums[long - 1] >= least
+        n = min(len(enough), len(sums) - long + 1) - 1
+        enough[1 : n + 1] = sums[long : long + n] - sums[:n] >= least
+        return np.flatnonzero(enough.reshape(every, BLOCK).any(1))
+
+
+def _trigrams(buf: np.ndarray) -> np.ndarray:
+    """16 bits for each three bytes in a row; different trigrams can share them."""
+    wide = buf.astype(np.uint32)
+    return (((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+
+
+def _search(parts: list[Part], part: np.ndarray, at: np.ndarray, buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places where a substring within the part's limit ends, sorted), looked for from each place `at` on, over a block and the length of a short item."""
+    masks = np.concatenate([p.masks for p in parts])
+    row = part * 256
+    top = np.array([p.size - 1 for p in parts], np.uint64)[part]
+    most = np.array([p.most for p in parts], np.int64)[part]
+    score = np.array([p.size for p in parts], np.int64)[part]
+    one = np.uint64(1)
+    vp, vn = np.full(len(at), 2**64 - 1, np.uint64), np.zeros(len(at), np.uint64)
+    where, stops = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for j in range(BLOCK + SHORT + SHORT // 4):
+        x = masks[row + buf[at + j]] | vn
+        d0 = (((x & vp) + vp) ^ vp) | x
+        hp = vn | ~(d0 | vp)
+        hn = d0 & vp
+        score += ((hp >> top) & one).astype(np.int64)
+        score -= ((hn >> top) & one).astype(np.int64)
+        hp <<= one
+        vn = hp & d0
+        vp = (hn << one) | ~(hp | d0)
+        hit = np.flatnonzero(score <= most)
+        if len(hit):
+            where.append(part[hit])
+            stops.append(at[hit] + (j + 1))
+    where, stops = np.concatenate(where), np.concatenate(stops)
+    for p in np.unique(where):
+        yield int(p), np.unique(stops[where == p])
+
+
 class Index:
     """The windows of some items; items are (id, text)."""
 
@@ -87,12 +168,10 @@ class Index:
             for k, c in enumerate(t):
                 mask[c] = mask.get(c, 0) | 1 << k
             self.masks.append(mask)
-        groups: dict[int, list[int]] = {}
-        for k, t in enumerate(self.texts):
-            if t:
-                groups.setdefault(min(STEPS, len(t)), []).append(k)
+        self.short = [Short(k, t) for k, t in enumerate(self.texts) if 0 < len(t) <= SHORT]
+        ks = [k for k, t in enumerate(self.texts) if len(t) > SHORT]
         self.families = []
-        for steps, ks in sorted(groups.items()):
+        for steps in [STEPS] if ks else []:
             joined = np.frombuffer(b"".join(self.texts[k] + b" " for k in ks) + b" ", np.uint8)
             places, items_at, offsets, at = [], [], [], 0
             for k in ks:
@@ -132,11 +211,42 @@ class Index:
                 found.append(np.stack([own[hit][row], items[which], at[hit][row] - offsets[which]], 1))
         return np.unique(np.concatenate(found), axis=0)
 
+    def short_leaks(self, buf: np.ndarray, ends: np.ndarray, raw: bytes, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Adds the best place of each short item in each text to `best`."""
+        if not self.short or not len(buf):
+            return
+        padded = np.concatenate([buf, np.full(BLOCK + 2 * SHORT + 2, 32, np.uint8)])
+        grams = _trigrams(padded)
+        blocks = [s.blocks(grams, len(buf)) for s in self.short]
+        which = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+        starts = np.concatenate(blocks) * BLOCK
+        parts = [(n, part) for n, s in enumerate(self.short) for part in s.parts]
+        first = np.searchsorted(which, np.arange(len(blocks) + 1))
+        lanes = [(np.full(first[n + 1] - first[n], p), starts[first[n] : first[n + 1]]) for p, (n, _) in enumerate(parts)]
+        part_of, at = (np.concatenate(x) for x in zip(*lanes, strict=True))
+        for a in range(0, len(at), LANES):
+            for p, stops in _search([part for _, part in parts], part_of[a : a + LANES], at[a : a + LANES], padded):
+                n, part = parts[p]
+                k, size, most = self.short[n].item, self.short[n].size, self.short[n].most
+                doc = np.searchsorted(ends, np.minimum(stops, len(buf)) - 1, "right") - 1
+                cut = np.flatnonzero((np.diff(stops) > most) | (np.diff(doc) > 0)) + 1
+                for lo, hi in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(stops)]]), strict=True):
+                    d = int(doc[lo])
+                    if best.get((d, k), (1,))[0] == 0:
+                        continue
+                    begin, end = int(ends[d]), int(ends[d + 1])
+                    left = max(begin, int(stops[lo]) - part.stop - 2 * most)
+                    right = min(end, int(stops[hi - 1]) + size - part.stop + 2 * most)
+                    distance, stop = infix(self.masks[k], size, raw[left:right])
+                    if distance <= most and distance < best.get((d, k), (size + 1,))[0]:
+                        best[d, k] = (distance, max(0, left + stop - size - begin), left + stop - begin)
+
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, stop) of the best place of each item in each text, if it is near enough."""
         buf, ends = folded(texts, 1)
         raw = buf.tobytes()
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        self.short_leaks(buf, ends, raw, best)
         last = (-1, -1, -1)
         for doc, item, at in self.candidates(buf, ends).tolist():
             size = len(self.texts[item])

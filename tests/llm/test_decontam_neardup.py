@@ -190,3 +190,22 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     kept = neardup.keep_one(frame(spark, rows)).collect()
     words = Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept)
     assert words == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5]), (None, "")])
+
+
+@pytest.mark.parametrize("size", [20, 40, 50, 60, 80, 100])
+def test_short_edited_items_agree_with_brute_force(size):
+    rng = random.Random(size)
+    items = [(i, " ".join(prose(rng, size))[:size].strip()) for i in range(30)]
+    docs = []
+    for _, t in items:
+        first, one, chars = t.split(), t.split(), list(t)
+        first[0], one[rng.randrange(len(one))] = "zq", rng.choice(WORDS)
+        for k in rng.sample(range(len(t)), len(t) // 5):
+            chars[k] = rng.choice("aeiou xyz")
+        docs += [" ".join([*prose(rng, 30), *own, *prose(rng, 9)]) for own in (first, one, ["".join(chars)])]
+        docs += [" ".join([*prose(rng, 30), t[:-3]]), t[2:]]
+    index, want = decontam.Index(items), set()
+    for d, text in enumerate(docs):
+        raw = fold.folded([text], 1)[0].tobytes()
+        want |= {(d, i) for i, (p, m) in enumerate(zip(index.texts, index.masks, strict=True)) if decontam.infix(m, len(p), raw)[0] <= int(0.2 * len(p) + 1e-9)}
+    assert {(d, i) for d, i, *_ in index.leaks(docs)} == want and len(want) > 3 * len(items)
