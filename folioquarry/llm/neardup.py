@@ -42,7 +42,7 @@ SMALL = 4096
 #: About so many texts show which words are frequent, by the first 16 KB of each.
 SAMPLE = 16_000
 BROADCAST_ROWS = 1_000_000
-_LINKED, _RING, _APART = 0, 1, 2
+_LINKED, _RING, _APART, _UNLINKED = 0, 1, 2, 3  # _UNLINKED: in the ring or apart
 _RNG = np.random.default_rng(2019)
 _ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -170,7 +170,7 @@ def banded(a: list[bytes], b: list[bytes], k: int) -> int:
 def relate(a: bytes, b: bytes, ring: bool = True) -> tuple[int, int]:
     """How a pivot a and a member b stand: (_LINKED, _RING or _APART; their distance, or one more than was looked for).
 
-    Without `ring`, all that are not linked are apart.
+    Without `ring`, all that are not linked are _UNLINKED.
     """
     x, y = a.split(), b.split()
     near = limit_of(len(x), len(y))
@@ -185,9 +185,9 @@ def relate(a: bytes, b: bytes, ring: bool = True) -> tuple[int, int]:
             counts[w] = c - 1
             common += 1
     if max(len(x), len(y)) - common > far:
-        return _APART, far + 1
+        return _APART if ring else _UNLINKED, far + 1
     d = banded(x, y, far)
-    return (_LINKED if d <= near else _RING if d <= far else _APART), d
+    return (_LINKED if d <= near else _UNLINKED if not ring else _RING if d <= far else _APART), d
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, ring: bool = False) -> DataFrame:
@@ -269,6 +269,7 @@ def _round(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> tupl
     stars = _stars(buckets)
     pairs = stars.where(_near_pivot(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     if done is not None:
+        done = done.where(F.col("state") != _UNLINKED)  # such pairs are verified again, for the ring
         pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
     found = _verify(pairs, texts, True)
     every = found if done is None else done.unionByName(found)

@@ -192,6 +192,18 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     assert words == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5]), (None, "")])
 
 
+def test_pivots_verify_pairs_again_that_were_not_looked_at_for_the_ring(spark):
+    words = prose(random.Random(11), 100)
+    other = lambda *spans: " ".join(f"x{k}" if any(a <= k < b for a, b in spans) else w for k, w in enumerate(words)).encode()
+    texts = spark.createDataFrame([(1, other()), (2, other((0, 18))), (3, other((0, 30)))], "id long, folded binary")
+    buckets = spark.createDataFrame([(5, 1, 100), (5, 2, 100), (5, 3, 100)], "key long, id long, n int")
+    done = neardup._verify(spark.createDataFrame([(1, 3)], "a long, b long"), texts)  # as in the phase of rare words
+    found, known = neardup._round(buckets, texts, done)
+    assert {r["id"]: r["state"] for r in known.collect()} == {2: neardup._LINKED, 3: neardup._RING}
+    links = neardup._linked(done.unionByName(found)).collect()
+    assert [(r["a"], r["b"]) for r in links] == [(1, 2)]
+
+
 @pytest.mark.parametrize("size", [20, 40, 50, 60, 80, 100])
 def test_short_edited_items_agree_with_brute_force(size):
     rng = random.Random(size)
