@@ -1,6 +1,6 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
-A rule is (label, priority, confidence, keyword, pattern). A text is folded (ASCII letters only), its keywords are found
+A rule is (label, priority, confidence, keywords, pattern); whatever the pattern matches holds one of the keywords. A text is folded (ASCII letters only), its keywords are found
 in one pass of an automaton, and only the rules of keywords that occur are run. Every detection is an interval of the
 text. Where intervals overlap, the higher priority wins: a detection that lies inside one of higher priority, or inside a
 longer one of the same priority, is suppressed. Base phrases are counted on words and are never suppressed.
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 # Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# License families: label, keyword, name pattern (_ stands for any run of separators), SPDX ids, address pattern.
+# License families: label, keywords, name pattern (_ stands for any run of separators), SPDX ids, address pattern.
 FAMILIES = """
 agpl | affero | (?:gnu_)?affero_general_public_license | AGPL-3.0 AGPL-1.0 | gnu\\.org/licenses/agpl
-lgpl | lesser | (?:gnu_)?(?:lesser|library)_general_public_license | LGPL-2.1 LGPL-3.0 LGPL-2.0 | gnu\\.org/licenses/lgpl
+lgpl | lesser library | (?:gnu_)?(?:lesser|library)_general_public_license | LGPL-2.1 LGPL-3.0 LGPL-2.0 | gnu\\.org/licenses/lgpl
 gfdl | documentation | gnu_free_documentation_license | GFDL-1.3 GFDL-1.2 GFDL-1.1 | gnu\\.org/licenses/fdl
 gpl | gnu | gnu_(?:general_public_license|gpl) | GPL-2.0 GPL-3.0 GPL-1.0 | gnu\\.org/licenses/(?:old-licenses/)?gpl
 apache | apache | apache_(?:software_)?license | Apache-2.0 Apache-1.1 Apache-1.0 | apache\\.org/licenses
-mit | mit | (?:mit|expat)_license | MIT MIT-0 X11 | opensource\\.org/licenses/mit
+mit | mit expat | (?:mit|expat)_license | MIT MIT-0 X11 | opensource\\.org/licenses/mit
 bsd | bsd | (?:new_|simplified_|modified_|original_)?bsd_(?:[0234]_clause_)?license | BSD-3-Clause BSD-2-Clause BSD-4-Clause 0BSD | opensource\\.org/licenses/bsd
 isc | isc | isc_license | ISC | opensource\\.org/licenses/isc
 mpl | mozilla | mozilla_public_license | MPL-2.0 MPL-1.1 MPL-1.0 | mozilla\\.org/(?:en-us/)?mpl
@@ -97,7 +97,7 @@ class Rule:
     label: str
     priority: int
     confidence: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
 
 
@@ -114,12 +114,12 @@ def rules() -> tuple[Rule, ...]:
     """All rules, highest priority first; those of one priority in the order of FAMILIES."""
     out = []
     for line in FAMILIES.strip().splitlines():
-        label, keyword, name, spdx, address = (x.strip() for x in line.split(" | "))
-        out += [Rule(label, p, c, keyword, _bytes(_words(t.format(n=name)))) for p, c, t in NAME_RULES]
+        label, keywords, name, spdx, address = (x.strip() for x in line.split(" | "))
+        out += [Rule(label, p, c, tuple(keywords.split()), _bytes(_words(t.format(n=name)))) for p, c, t in NAME_RULES]
         p, c, t = ADDRESS_RULE
-        out.append(Rule(label, p, c, re.split(r"\\\.|/", address)[0], _bytes(t.format(u=address))))
+        out.append(Rule(label, p, c, (re.split(r"\\\.|/", address)[0],), _bytes(t.format(u=address))))
         p, c, t = SPDX_RULE
-        out += [Rule(label, p, c, "spdx", _bytes(t.format(s=re.escape(s.lower())))) for s in spdx.split()]
+        out += [Rule(label, p, c, ("spdx",), _bytes(t.format(s=re.escape(s.lower())))) for s in spdx.split()]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -129,7 +129,8 @@ def _prefilter():
 
     by: dict[str, list[int]] = {}
     for k, r in enumerate(rules()):
-        by.setdefault(r.keyword, []).append(k)
+        for word in r.keywords:
+            by.setdefault(word, []).append(k)
     found = ahocorasick.Automaton()
     for word, ks in by.items():
         found.add_word(word, (ks, None))

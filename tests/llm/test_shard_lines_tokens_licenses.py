@@ -197,3 +197,40 @@ def test_cut_segments_encode_as_the_whole(text):
     encoder = tokenbin._encoder(queries._tokenizer("byte_bpe_50k.json"))
     for texts in ([text], ["", text, "x", text + text, ""], ["a" * 100 + text, "a" * 64, "a" * 65 + " b", "a" * 64 + "c"]):
         assert [p.tolist() for p in encoder.payloads(texts)] == [tokenizer().encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def strings_of(parsed):
+    """Strings that a pattern matches: every branch, optional parts with and without, one of each other set."""
+    out = {""}
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = {chr(arg)}
+        elif op == "SUBPATTERN":
+            more = strings_of(arg[3])
+        elif op == "BRANCH":
+            more = {x for a in arg[1] for x in strings_of(a)}
+        elif op == "MAX_REPEAT":
+            more = strings_of(arg[2]) | ({""} if arg[0] == 0 else set())
+        elif op == "IN":
+            more = {" "} if str(arg[0][0]) == "NEGATE" else {chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg}
+        else:
+            assert op == "ASSERT_NOT"
+            more = {""}
+        out = {a + b for a in out for b in more}
+    return out
+
+
+def test_keywords_occur_in_all_that_a_rule_matches():
+    from re import _parser
+
+    for r in licenses.rules():
+        if r.pattern.pattern.startswith(b"(?<!") and r.priority != 40:
+            continue  # templates around the bare name
+        for t in strings_of(_parser.parse(r.pattern.pattern)):
+            assert any(k in t for k in r.keywords), (r.label, t)
+
+
+@pytest.mark.parametrize("text, label", [("GNU Library General Public License", "lgpl"), ("under the Expat License", "mit")])
+def test_names_without_the_first_keyword(text, label):
+    assert label in {licenses.rules()[k].label for k, _, _ in licenses.scan(text)[2]}
