@@ -125,3 +125,19 @@ def test_stages_and_pipeline(spark, sf):
     assert got == {i: made.encode(t or "") for i, t in rows(fourth)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "decontamination", "sentencepiece"]
     assert neardup.SIMILARITY == 0.8 and linededup.MIN_CHARS == 10
+
+
+def test_candidates_hold_the_labelled_secrets():
+    for f, secret in secret_scan.labelled_findings(secret_scan.Dictionary.load(VOCABULARY)):
+        found = {(a, g.value) for a, g in secret_scan.candidates(f.left + f.value + f.right, f.path)}
+        assert not secret or (len(f.left), f.value) in found, f
+
+
+def test_candidates_under_prefixed_names():
+    values = lambda t: [(g.kind, g.value) for _, g in secret_scan.candidates(t, None)]
+    assert values('db_password = "Tr0ub4dor!3x"') == [("assigned", "Tr0ub4dor!3x")]
+    assert values('AWS_SECRET="aB3#xY9!kLm2"') == [("assigned", "aB3#xY9!kLm2")]
+    assert values("DB_PASSWORD=hunter2!secret9") == values("export/the/DB_PASSWORD=hunter2!secret9")[-1:] == [("assigned", "hunter2!secret9")]
+    assert values("dbPassword: hunter2!secret9") == [("assigned", "hunter2!secret9")]
+    key = "ghp_" + "aB3dE6gH9" * 4
+    assert values("github_token=" + key) == [("assigned", key)] and values("the_name_of_it=" + key) == [("github-token", key)]
