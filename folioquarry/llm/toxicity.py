@@ -202,8 +202,12 @@ def _samples(docs: DataFrame, wanted: list[tuple[DataFrame, int, int]]) -> list[
     sizes = only({i for p in picks for i in p}).groupBy("doc_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.count("*"))
     size = {r[0]: r[1] + 64 * r[2] for r in sizes.collect()}
     for k, (_, _, most) in enumerate(wanted):
-        fits = np.cumsum([size.get(i, 0) for i in picks[k]]) <= most
-        picks[k] = [i for i, ok in zip(picks[k], fits, strict=True) if ok]
+        fit, held = [], 0
+        for i in picks[k]:
+            if held + size.get(i, 0) <= most:  # a text that does not fit is passed over
+                fit.append(i)
+                held += size.get(i, 0)
+        picks[k] = fit
     texts: dict[int, list] = {}
     for r in only({i for p in picks for i in p}).select("doc_id", "text").collect():
         texts.setdefault(r["doc_id"], []).append(r["text"])

@@ -116,3 +116,13 @@ def test_recall_on_the_table(spark, sf):
         got["all"] += len(near)
         assert all(abs(s - d[np.flatnonzero(ids == i)[0]]) < 1e-9 for i, s in found[int(ids[q])].items())
     assert got["hit"] / got["all"] >= 0.9
+
+
+def test_samples_pass_over_a_text_that_does_not_fit(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "x" * 50) for i in range(20)]
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "doc_id long")
+    first = ids.orderBy(F.xxhash64(F.lit(0), "doc_id"), "doc_id").first()[0]
+    docs = spark.createDataFrame([(i, "y" * 5000 if i == first else t) for i, t in rows], "doc_id long, text string")
+    assert toxicity._samples(docs, [(ids, 20, 4000)]) == [["x" * 50] * 19]
