@@ -5,25 +5,25 @@ class goes on. An Order MinHash sketch (Marcais et al., 2019) takes, under each
 smallest five-word k-mers, labelled with their occurrence number, and keeps them in text order; so equal sketches ask for
 shared k-mers in the same order, and their chance follows the edit similarity. Two texts are candidates when one sketch
 is equal; they are linked when the edit distance of their word sequences, aligned within a band, is at most
-(1 - SIMILARITY) of the longer one. With an edit in every fifth word at random, a pair shares a sketch with a chance of
-0.93 (0.04 for each of 64); above a similarity of 0.85 the chance is over 0.99. Texts of fewer than five words have one
-k-mer.
-
-A bucket of equal sketches is never expanded into all its pairs. Each member is aligned with the bucket's smallest id (the
-pivot). Distances obey the triangle inequality, so a member beyond twice the limit cannot be linked to one within the
-limit; only members in the ring between can. What is left, members without the pivot's link and ring against inside, is
-divided by an exact filter: two texts within the limit share at least (1 - limit) of their words, so in any one order of all
-words they share a word among the first fifth (plus one) of each. The order puts words first that a bounded sample does
-not show as frequent, so texts that merely have a passage in common fall apart. Texts that links connect already are not
-compared again. Words with at most SMALL such texts set them side by side, each pair once; more frequent ones go through
-further pivots until that many are left. Connected components of the links give the groups.
-
-Everything but the verification moves ids and hashes only. Texts are shuffled once, of the candidates alone.
+(1 - SIMILARITY) of the longer one. Short texts with an edit in every fifth word have hardly a five-word k-mer in common:
+texts of at most LONGEST_SHORT words have SHORT_SKETCHES sketches of two-word k-mers (texts of at least SHORTEST_LONG words
+the five-word ones; as linked lengths differ by a quarter at most, any linked pair has sketches of one kind in common).
+At exactly the limit with edits at random places a pair of any length is found with a chance of over 0.9 (measured by
+length in the tests), and nearer pairs more often.
+
+A bucket of equal sketches is never expanded into all its pairs of rows. First each member is aligned with the bucket's
+smallest id (the pivot), up to the distance beyond which it cannot be linked to anything that is linked to the pivot.
+Components of the links found so far are contracted, and buckets that hold one component only are done; that is where large
+groups of near copies end. What is left goes in blocks of BLOCK texts, every two blocks of a bucket meeting in one task:
+a pair is looked at in the first bucket that it shares, if it is not connected yet, its lengths allow a link, and its known
+distances to the pivot do (the triangle inequality). A first pass does so on sketches alone and tells which texts are
+needed; a second one has their words, rules pairs out by the words they have in common, aligns the others, and gives links
+only. So no link between candidates is lost, memory is bounded by the block, and a group is spread over tasks; the work for
+texts that share a long passage and lie just off the limit remains in the square of their number, cheap as it is.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,24 +37,23 @@ from folioquarry.llm.common import discard, id_back, id_key, release, written
 from folioquarry.llm.fold import folded, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
-SKETCHES, PICKS = 64, 2
-SMALL = 4096
-#: About so many texts show which words are frequent, by the first 16 KB of each.
-SAMPLE = 16_000
+SKETCHES, PICKS = 96, 2
+SHORT_SHINGLE, SHORT_SKETCHES = 2, 48
+SHORTEST_LONG, LONGEST_SHORT = 40, 50
+#: Texts, and words, that a block of a bucket holds on average at most.
+BLOCK, BLOCK_WORDS = 2048, 2_000_000
 BROADCAST_ROWS = 1_000_000
-_LINKED, _RING, _APART, _UNLINKED = 0, 1, 2, 3  # _UNLINKED: in the ring or apart
+_LINKED, _RING, _APART = 0, 1, 2
+_CELLS = 1 << 18
 _RNG = np.random.default_rng(2019)
-_ODD = _RNG.integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _RNG.integers(0, 2**31, SKETCHES + SHORT_SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SALT = _RNG.integers(1, 2**63, SKETCHES + SHORT_SKETCHES, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PASS = "id long, own long, c1 long, c2 long, n int, sketch array<long>"
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> bytes:
-        value = xxhash.xxh64_digest(word)
-        if len(self) < 400_000:
-            self[word] = value
-        return value
+#: A polynomial hash of words over a ring of 64 bits: values of the bytes, the base and its inverse.
+_BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -62,11 +61,26 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
-    """The SKETCHES order min-hashes of a sequence of word hashes; none for an empty sequence."""
-    if not len(words):
-        return np.empty(0, np.int64)
-    k = min(SHINGLE, len(words))
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of folded bytes begin, and a 64-bit hash of each."""
+    blank = buf == 32
+    begins = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+    ends = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    if len(ends) < len(begins):
+        ends = np.append(ends, len(buf))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * _powers(_BASE, len(buf)))])
+    return begins, _mixed((sums[ends] - sums[begins]) * _powers(_INVERSE, len(buf))[begins] + (ends - begins).astype(np.uint64))
+
+
+def _picked(words: np.ndarray, k: int, at: int, count: int) -> np.ndarray:
+    """The order min-hashes of functions at .. at + count - 1 over k-mers of k words."""
+    k = min(k, len(words))
     h = words[: len(words) - k + 1].copy()
     for j in range(1, k):
         h = _mixed(h) + words[j : len(words) - k + 1 + j]
@@ -79,19 +93,26 @@ def sketch(words: np.ndarray) -> np.ndarray:
         nth = np.arange(len(h)) - first[run]
         h[order] += nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     h = _mixed(h)
-    out = np.empty(SKETCHES, np.uint64)
-    for a in range(0, SKETCHES, 16):
-        keys = h[None, :] * _ODD[a : a + 16, None]
-        rows = np.arange(len(keys))
-        first = keys.argmin(1)
-        if len(h) == 1:
-            pair = (first, first)
-        else:
-            keys[rows, first] = np.iinfo(np.uint64).max
-            second = keys.argmin(1)
-            pair = (np.minimum(first, second), np.maximum(first, second))
-        out[a : a + 16] = _mixed(_mixed(h[pair[0]]) * np.uint64(3) + h[pair[1]]) + np.arange(a, a + len(keys)).astype(np.uint64) * _MIX
-    return _mixed(out).view(np.int64)
+    low = (h >> np.uint64(32)).astype(np.uint32)
+    first, second = np.zeros(count, np.int64), np.zeros(count, np.int64)
+    step = max(1, min(count, _CELLS // len(h)))
+    for a in range(0, count if len(h) > 1 else 0, step):
+        keys = low[None, :] * _ODD[at + a : at + min(a + step, count), None]
+        first[a : a + step] = own = keys.argmin(1)
+        keys[np.arange(len(keys)), own] = np.iinfo(np.uint32).max
+        second[a : a + step] = keys.argmin(1)
+    left, right = np.minimum(first, second), np.maximum(first, second)
+    return _mixed(_mixed(h[left]) * np.uint64(3) + h[right] + _SALT[at : at + count])
+
+
+def sketch(words: np.ndarray) -> np.ndarray:
+    """The order min-hashes of a sequence of word hashes, of five-word k-mers, then of two-word ones; none for an empty sequence."""
+    parts = [np.empty(0, np.uint64)]
+    if len(words) >= SHORTEST_LONG:
+        parts.append(_picked(words, SHINGLE, 0, SKETCHES))
+    if 0 < len(words) <= LONGEST_SHORT:
+        parts.append(_picked(words, SHORT_SHINGLE, SKETCHES, SHORT_SKETCHES))
+    return np.concatenate(parts).view(np.int64)
 
 
 def word_lists(texts: list[str | None]) -> Iterator[bytes]:
@@ -104,20 +125,21 @@ def word_lists(texts: list[str | None]) -> Iterator[bytes]:
 
 def _first_pass(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHash()
         for b in batches:
-            c1, c2, n, flat = [], [], [], []
-            for text in word_lists(b.column(1).to_pylist()):
-                whole = xxhash.xxh3_128_intdigest(text)
-                c1.append(whole >> 64)
-                c2.append(whole & (2**64 - 1))
-                words = np.frombuffer(b"".join(map(memo.__getitem__, text.split())), "<u8")
-                n.append(len(words))
-                flat.append(sketch(words))
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), signed(c1), signed(c2), pa.array(n, pa.int32()), lists], names=["id", "own", "c1", "c2", "n", "sketch"])
+            at = 0
+            for _, part in slices(b.column(1).to_pylist()):
+                buf, ends = folded(part, 0)
+                raw = buf.tobytes()
+                begins, hashes = word_hashes(buf)
+                cuts = np.searchsorted(begins, ends)
+                flat = [sketch(hashes[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+                whole = [xxhash.xxh3_128_intdigest(raw[a:z].strip()) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+                signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+                c1, c2 = signed([w >> 64 for w in whole]), signed([w & (2**64 - 1) for w in whole])
+                sizes = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(flat), pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), b.column(2).slice(at, len(part)), c1, c2, pa.array(np.diff(cuts).astype(np.int32)), lists], names=["id", "own", "c1", "c2", "n", "sketch"])
+                at += len(part)
 
     return docs.mapInArrow(run, _PASS)
 
@@ -166,16 +188,8 @@ def banded(a: list[bytes], b: list[bytes], k: int) -> int:
         vn = (d0 >> 1) & hp
     return score if score <= k else k + 1
 
-
-def relate(a: bytes, b: bytes, ring: bool = True) -> tuple[int, int]:
-    """How a pivot a and a member b stand: (_LINKED, _RING or _APART; their distance, or one more than was looked for).
-
-    Without `ring`, all that are not linked are _UNLINKED.
-    """
-    x, y = a.split(), b.split()
-    near = limit_of(len(x), len(y))
-    far = int(0.25 * len(x) + (1 - SIMILARITY) * max(len(y), 1.25 * len(x))) + 1  # beyond it nothing inside the limit of a links to b
-    far = far if ring else near
+def _common(x: list[bytes], y: list[bytes]) -> int:
+    """How many words two sequences have in common, with repeats."""
     counts: dict[bytes, int] = {}
     for w in x:
         counts[w] = counts.get(w, 0) + 1
@@ -184,31 +198,32 @@ def relate(a: bytes, b: bytes, ring: bool = True) -> tuple[int, int]:
         if c := counts.get(w, 0):
             counts[w] = c - 1
             common += 1
-    if max(len(x), len(y)) - common > far:
-        return _APART if ring else _UNLINKED, far + 1
+    return common
+
+
+def relate(a: bytes, b: bytes) -> tuple[int, int]:
+    """How a pivot a and a member b stand: (_LINKED, _RING or _APART; their distance, or one more than was looked for)."""
+    x, y = a.split(), b.split()
+    near = limit_of(len(x), len(y))
+    far = int(0.25 * len(x) + (1 - SIMILARITY) * max(len(y), 1.25 * len(x))) + 1  # beyond it nothing inside the limit of a links to b
+    if max(len(x), len(y)) - _common(x, y) > far:
+        return _APART, far + 1
     d = banded(x, y, far)
-    return (_LINKED if d <= near else _UNLINKED if not ring else _RING if d <= far else _APART), d
+    return (_LINKED if d <= near else _RING if d <= far else _APART), d
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, ring: bool = False) -> DataFrame:
-    """(a, b, state, d) of pairs (a, b)."""
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, state, d) of pairs (a, b) of pivots and members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [relate(x, y, ring) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            got = [relate(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in got], pa.int32()), pa.array([d for _, d in got], pa.int32())], names=["a", "b", "state", "d"])
 
     left = texts.select(F.col("id").alias("a"), F.col("folded").alias("fa"))
     right = texts.select(F.col("id").alias("b"), F.col("folded").alias("fb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb")
-    out = written(both.mapInArrow(run, "a long, b long, state int, d int"), "near-verified")
-    release(pairs.sparkSession)
-    return out
-
-
-def _alike(n: Column, m: Column) -> Column:
-    """Lengths that the limit allows; integers, as in limit_of."""
-    return F.abs(n - m) <= F.floor(F.greatest(n, m) * F.lit(1 - SIMILARITY) + F.lit(1e-9))
+    return written(both.mapInArrow(run, "a long, b long, state int, d int"), "near-verified")
 
 
 def _near_pivot(n: Column, m: Column) -> Column:
@@ -216,138 +231,187 @@ def _near_pivot(n: Column, m: Column) -> Column:
     return F.abs(n - m) <= F.floor(n * F.lit(0.25) + F.greatest(m.cast("double"), n * F.lit(1.25)) * F.lit(1 - SIMILARITY)) + 1
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(key, a, na, b, nb): the members b of each bucket with its pivot a."""
-    pivots = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    return buckets.join(pivots, "key").where(F.col("id") != F.col("p.id")).select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-
-
-def _prefixes(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, word): of the chosen texts, the first limit + 1 words in one order of all words, repeats told apart.
-
-    Words (and sketches, further on) are known by 32 bits; where two meet by chance, a pair more is verified.
-
-    The order is by the number of texts of a bounded sample that hold the word, then by hash; it does not affect results.
-    """
-    spark = texts.sparkSession
-    chosen = texts.join(ids.select("id").distinct(), "id", "left_semi")
-    every = max(1, chosen.count() // SAMPLE)
+def _stars(buckets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs (a, b) of pivots and members; and (key, id, n, exact, d) of all members: their distance to the pivot, or a lower bound of it."""
+    pivots = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
+    stars = buckets.join(pivots, "key").where(F.col("id") != F.col("p.id"))
+    stars = stars.select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    found = _verify(stars.where(_near_pivot(F.col("na"), F.col("nb"))).select("a", "b").distinct(), texts)
+    known = stars.join(found, ["a", "b"], "left")
+    return found, known.select("key", F.col("b").alias("id"), F.col("nb").alias("n"), F.coalesce(F.col("state") != _APART, F.lit(False)).alias("exact"), F.coalesce("d", F.abs(F.col("na") - F.col("nb"))).alias("d"))
+
+
+_BLOCKS = "key long, i int, j int, own int, id long, n int, root long, exact boolean, d int"
+
+
+def _blocks(known: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, once for every two blocks (i, j) of their bucket that they belong to."""
+    known = written(known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-known")
+    sizes = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.sum("n").alias("words")).where("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
+    members = known.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    members = members.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root", "exact", "d", "sketch")
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that lie side by side with equal first three columns, group by group."""
+    held, current = [], None
+    for b in batches:
+        keys = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+            if a == z:
+                continue
+            if held and (key := tuple(keys[a])) != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = tuple(keys[a])
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _in_groups(df: DataFrame) -> DataFrame:
+    return df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group that have to be looked at here; a function of the two rows alone."""
+    col = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "own", "n", "root", "exact", "d")}
+    sketches, sizes = _matrix(t, col["n"])
+    order = np.argsort(col["n"], kind="stable")
+    n, root, exact, d, own = (col[c][order] for c in ("n", "root", "exact", "d", "own"))
+    n, d, sketches = n.astype(np.int64), d.astype(np.int64), sketches[order]
+    here = int(np.flatnonzero(sketches[0] == col["key"][0])[0])
+    across = bool(col["i"][0] != col["j"][0])
+    longest = np.floor(n / SIMILARITY + 1e-6).astype(np.int64)
+    last = np.searchsorted(n, longest, "right")
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    step = max(1, _CELLS // max(1, len(n)))
+    for a in range(0, len(n) - 1, step):
+        rows, cols = np.arange(a, min(a + step, len(n))), np.arange(a + 1, last[min(a + step, len(n)) - 1])
+        if not len(cols):
+            continue
+        x, y = rows[:, None], cols[None, :]
+        most = np.floor((1 - SIMILARITY) * n[y] + 1e-9)
+        gap = d[x] - d[y]
+        bound = np.where(exact[x], np.where(exact[y], np.abs(gap), -gap), np.where(exact[y], gap, 0))
+        ok = (y > x) & (root[x] != root[y]) & (n[y] - n[x] <= most) & (bound <= most)
+        if across:
+            ok &= own[x] != own[y]
+        x, y = np.nonzero(ok)
+        x, y = rows[x], cols[y]
+        for b in range(0, len(x), 4096):
+            equal = sketches[x[b : b + 4096]] == sketches[y[b : b + 4096]]
+            first = equal.argmax(1) == here
+            left.append(x[b : b + 4096][first])
+            right.append(y[b : b + 4096][first])
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
+def _matrix(t: pa.Table, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of each row side by side; what a text has none of is filled with values that no other row has."""
+    lists = t.column("sketch").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.repeat(np.arange(len(n))[:, None], SKETCHES + SHORT_SKETCHES, 1)
+    long, short = n >= SHORTEST_LONG, n <= LONGEST_SHORT
+    for rows, offset, first, count in ((long, 0, 0, SKETCHES), (short & ~long, 0, SKETCHES, SHORT_SKETCHES), (short & long, SKETCHES, SKETCHES, SHORT_SKETCHES)):
+        k = np.flatnonzero(rows)
+        out[k, first : first + count] = flat[at[k][:, None] + offset + np.arange(count)[None, :]]
+    return out, sizes
+
+
+def _needed(blocks: DataFrame) -> DataFrame:
+    """The rows of blocks that are part of a pair to look at, without their sketches."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHash()
-        for b in batches:
-            own = [b"".join(map(memo.__getitem__, set(t.split()))) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(own), np.int64))], names=["word"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups_of(batches):
+            left, right = _candidates(t)
+            if len(left):
+                yield from t.drop_columns(["sketch"]).take(pa.array(np.unique(np.concatenate([left, right])))).to_batches()
+
+    return _in_groups(blocks).mapInArrow(run, _BLOCKS)
+
+
+def _overlaps(words: list[list[bytes]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The words that the texts of each pair have in common, with repeats; by rows over an inverted index."""
+    codes: dict[tuple[bytes, int], int] = {}
+    tokens = []
+    for own in words:
+        seen: dict[bytes, int] = {}
+        mine = []
+        for w in own:
+            nth = seen[w] = seen.get(w, 0) + 1
+            mine.append(codes.setdefault((w, nth), len(codes)))
+        tokens.append(np.array(mine, np.int64))
+    sizes = [len(x) for x in tokens]
+    flat, owner = np.concatenate(tokens), np.repeat(np.arange(len(words)), sizes)
+    order = np.argsort(flat, kind="stable")
+    holders, at = owner[order], np.searchsorted(flat[order], np.arange(len(codes) + 1))
+    out = np.zeros(len(left), np.int64)
+    by = np.argsort(left, kind="stable")
+    cuts = np.flatnonzero(np.diff(left[by])) + 1
+    for own in np.split(by, cuts):
+        mine = tokens[int(left[own[0]])]
+        lo, n = at[mine], at[mine + 1] - at[mine]
+        rows = holders[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
+        out[own] = np.bincount(rows, minlength=len(words))[right[own]]
+    return out
 
-    some = chosen.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(every)) == 0).select(F.substring("folded", 1, 1 << 14).alias("folded"))
-    often = some.mapInArrow(hashes, "word long").groupBy("word").agg(F.count("*").alias("n")).where("n > 2")
-    held = spark.sparkContext.broadcast({struct.pack("<q", r["word"]): r["n"] for r in often.collect()})  # bounded by the sample
 
+def _links_in(t: pa.Table) -> Iterator[tuple[int, int]]:
+    """The links of a group that connect components which nothing in the group has connected before."""
+    left, right = _candidates(t)
+    if not len(left):
+        return
+    ids, root = t.column("id").to_pylist(), t.column("root").to_pylist()
+    words = [x.split() for x in t.column("folded").to_pylist()]
+    most = np.array([limit_of(len(words[x]), len(words[y])) for x, y in zip(left.tolist(), right.tolist(), strict=True)])
+    longer = np.array([max(len(words[x]), len(words[y])) for x, y in zip(left.tolist(), right.tolist(), strict=True)])
+    if len(left) > 64:
+        common = _overlaps(words, left, right)
+    else:
+        common = np.array([_common(words[x], words[y]) for x, y in zip(left.tolist(), right.tolist(), strict=True)])
+    slack = most - (longer - common)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for k in np.argsort(-slack / longer, kind="stable").tolist():  # the likeliest first: what they connect needs no further look
+        if slack[k] < 0:
+            break
+        x, y, limit = int(left[k]), int(right[k]), int(most[k])
+        if (a := find(root[x])) != (b := find(root[y])) and banded(words[x], words[y], limit) <= limit:
+            parent[a] = b
+            yield min(ids[x], ids[y]), max(ids[x], ids[y])
+
+
+def _more_links(needed: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, memo = held.value, _WordHash()
-        for b in batches:
-            ids, words = [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts: dict[bytes, int] = {}
-                order = []
-                for w in text.split():
-                    nth = counts[w] = counts.get(w, 0) + 1
-                    order.append((often.get(memo[w], 0), memo[w], nth))
-                order.sort()
-                first = order[: limit_of(len(order), len(order)) + 1]
-                own = np.frombuffer(b"".join(h for _, h, _ in first), "<u8") + np.array([n - 1 for _, _, n in first], np.uint64) * _MIX
-                ids.append(np.full(len(own), i))
-                words.append((own >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else [], t)
-            yield pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(words, pa.int32())], names=["id", "word"])
-
-    return chosen.select("id", "folded").mapInArrow(run, "id long, word int")
-
-
-def _round(buckets: DataFrame, texts: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs of pivots and members; and (key, id, n, state, d) of all members."""
-    stars = _stars(buckets)
-    pairs = stars.where(_near_pivot(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    if done is not None:
-        done = done.where(F.col("state") != _UNLINKED)  # such pairs are verified again, for the ring
-        pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    found = _verify(pairs, texts, True)
-    every = found if done is None else done.unionByName(found)
-    known = stars.join(every, ["a", "b"], "left").select("key", F.col("b").alias("id"), F.col("nb").alias("n"), F.coalesce("state", F.lit(_APART)).alias("state"), "d")
-    return found, written(known, "near-known")
-
-
-def _rest(known: DataFrame) -> DataFrame:
-    """(key, id, n, root, size): members without the pivot's link, where a bucket has several."""
-    left = known.where(F.col("state") != _LINKED).select("key", "id", "n", "root")
-    return left.join(left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
-
-
-def _linked(done: DataFrame) -> DataFrame:
-    found = done.where(F.col("state") == _LINKED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return written(found.distinct(), "near-links")
+        for t in _groups_of(batches):
+            if found := list(_links_in(t)):
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    both = needed.join(texts, "id").select("key", "i", "j", "own", "id", "n", "root", "exact", "d", "sketch", "folded")
+    return written(_in_groups(both).mapInArrow(run, "a long, b long"), "near-more")
 
 
 def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b), a < b: linked pairs that connect what the buckets connect."""
-    done, known = _round(buckets, texts, None)
-    roots = _groups(_linked(done)).select("id", "root")
-    known = known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = _rest(known)
-    # members that are connected already need no comparison; a bucket or word that joins nothing new is left out
-    several = lambda df, *key: df.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rest = written(rest.join(several(rest, "key").select("key"), "key", "left_semi").select("key", "id", "n", "root"), "near-rest")
-    ringed = known.join(known.where(F.col("state") == _RING).select("key").distinct(), "key", "left_semi").where(F.col("state") != _APART)
-    ringed = written(ringed.join(several(ringed, "key").select("key"), "key", "left_semi").select("key", "id", "n", "state", "d", "root"), "near-ring")
-    members = rest.select("id", "root").union(ringed.select("id", "root")).distinct()
-    by_word = W.partitionBy("word")
-    words = _prefixes(texts, members).join(members, "id").withColumns({"lo": F.min("root").over(by_word), "hi": F.max("root").over(by_word)})
-    words = written(words.where("lo < hi").select("id", "word"), "near-words")
-    # ring against inside first: what that connects need not be set side by side any more
-    ring = _entries(ringed.where(F.col("state") == _RING), words)
-    inside = _entries(ringed.where(F.col("state") == _LINKED), words)
-    done = done.unionByName(_verify(_unverified(_together(ring, inside, False), done), texts))
-    roots = _groups(_linked(done)).select("id", F.col("root").alias("now"))
-    rest = rest.join(roots, "id", "left").select("key", "id", "n", F.coalesce("now", "root").alias("root"))
-    entries = _entries(rest, words)
-    entries = entries.withColumns({"lo": F.min("root").over(by_word), "hi": F.max("root").over(by_word), "size": F.count("*").over(by_word)})
-    entries = written(entries.where("lo < hi").drop("lo", "hi"), "near-entries")
+    """(a, b), a < b: linked pairs that connect what the buckets connect; texts are (id, sketch, folded)."""
+    found, known = _stars(buckets, texts.select("id", "folded"))
+    first = written(found.where(F.col("state") == _LINKED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
     release(texts.sparkSession)
-    small = entries.where(F.col("size") <= SMALL)
-    done = done.unionByName(_verify(_unverified(_together(small, small, True), done), texts))
-    rest = entries.where(F.col("size") > SMALL).select(F.col("word").alias("key"), "id", "n")
-    while not rest.isEmpty():
-        found, known = _round(rest, texts, done)
-        done = done.unionByName(found)
-        known = known.withColumns({"root": F.col("id"), "word": F.col("key"), "keys": F.array("key"), "words": F.array("key")})
-        ring, inside = (known.where(F.col("state") == k) for k in (_RING, _LINKED))
-        left = written(_rest(known).withColumns({"word": F.col("key"), "keys": F.array("key"), "words": F.array("key")}), "near-rest")
-        small = left.where(F.col("size") <= SMALL)
-        done = done.unionByName(_verify(_unverified(_together(ring, inside, False).union(_together(small, small, True)).distinct(), done), texts))
-        rest = left.where(F.col("size") > SMALL).select("key", "id", "n")
-    return _linked(done)
-
-
-def _unverified(pairs: DataFrame, done: DataFrame) -> DataFrame:
-    return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-
-
-def _entries(members: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, id, n, root, keys, words): a row for each chosen word of each text among (key, id, n, root)."""
-    own = members.groupBy("id").agg(F.min("n").alias("n"), F.min("root").alias("root"), F.collect_set(F.shiftright("key", 32).cast("int")).alias("keys"))  # SKETCHES keys at most
-    own = own.join(words.groupBy("id").agg(F.collect_set("word").alias("words")), "id")
-    return words.join(own, "id")
-
-
-def _together(e: DataFrame, f: DataFrame, same: bool) -> DataFrame:
-    """(a, b) of texts that share a word and a sketch and are not connected: each pair once, at its smallest common word."""
-    e = e.select("word", "id", "n", "root", "keys", "words")
-    f = f.select("word", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "root", "keys", "words")])
-    fits = (F.col("root") != F.col("root_")) & _alike(F.col("n"), F.col("n_")) & F.arrays_overlap("keys", "keys_")
-    once = F.col("word") == F.array_min(F.array_intersect("words", "words_"))
-    both = e.join(f, "word").where(fits & once & ((F.col("id") < F.col("id_")) if same else F.lit(True)))
-    pairs = both.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b"))
-    return pairs if same else pairs.distinct()  # two texts can be in each other's ring
+    roots = _groups(first)
+    needed = written(_needed(_blocks(known, roots, texts.select("id", "sketch"))), "near-blocks")
+    release(texts.sparkSession)
+    return written(first.union(_more_links(needed, texts)).distinct(), "near-links")
 
 
 def _groups(links: DataFrame) -> DataFrame:
@@ -362,75 +426,90 @@ def _groups(links: DataFrame) -> DataFrame:
     while True:
         step = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")), "near-step")
         if where is None:
-            where = step.select(F.col("u").alias("id"), F.col("to").alias("root"))
+            moved = step.select(F.col("u").alias("id"), F.col("to").alias("root"))
         else:
-            moved = where.join(step, where.root == step.u, "left")
-            where = written(moved.select("id", F.coalesce("to", "root").alias("root")), "near-labels")
-        edges = edges.join(step, "u").select("v", F.col("to").alias("from")).join(step.select(F.col("u").alias("v"), "to"), "v")
-        edges = written(edges.where("from <> to").select(F.col("from").alias("u"), F.col("to").alias("v")).distinct(), "near-edges")
+            moved = where.join(step, where.root == step.u, "left").select("id", F.coalesce("to", "root").alias("root"))
+        after = written(moved, "near-labels")
+        onward = edges.join(step, "u").select("v", F.col("to").alias("from")).join(step.select(F.col("u").alias("v"), "to"), "v")
+        onward = written(onward.where("from <> to").select(F.col("from").alias("u"), F.col("to").alias("v")).distinct(), "near-edges")
+        discard(edges, step, *([] if where is None else [where]))
+        where, edges = after, onward
         if edges.isEmpty():
+            discard(edges)
             return where
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, copy_id (smallest id with the same words), class_id (smallest id linked), n_links.
+    """One row per input row: doc_id, copy_id (smallest id with the same words), class_id (smallest id of its group).
 
-    n_links counts the different texts that the class of a row is linked to by verified pairs. Texts without a word (null,
-    empty, punctuation) are one class. Repeated rows and ids give repeated rows; a null id is kept and sorts first; an
-    empty table gives an empty result; other columns are not read.
+    Texts without a word (null, empty, punctuation) are one class. Repeated rows and ids give repeated rows; a null id is
+    kept and sorts first; an empty table gives an empty result; other columns are not read.
     """
     out = _grouped(docs)
-    return out.select(id_back(F.col("id")).alias("doc_id"), id_back(F.col("rep")).alias("copy_id"), id_back(F.coalesce("group", "rep")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(id_back(F.col("id")).alias("doc_id"), id_back(F.col("rep")).alias("copy_id"), id_back(F.coalesce("group", "rep")).alias("class_id"))
+
+
+def _once(rows: DataFrame, *key: str) -> DataFrame:
+    """One of the rows of each key; those that stand alone (times = 1) are not sorted."""
+    return rows.where("times = 1").unionByName(rows.where("times > 1").dropDuplicates(list(key)))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """One row per input row: id, own (hash of its text), rep and group (ids, as in near_groups), n_links, root.
+    """One row per input row: id, own (hash of its text), rep and group (ids, as in near_groups), root.
 
     Ids can stand for several texts or be null; root is the class of words that stands for the whole component.
     """
+    spark = docs.sparkSession
     source = docs.select(id_key().alias("id"), "text", F.xxhash64("text").alias("own"))
     first = written(_first_pass(source), "near-sketches")
-    classes = written(first.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.min("n").alias("n")), "near-classes")
-    of_class = first.select("id", "own", "c1", "c2", "sketch").join(classes, ["c1", "c2"])
-    rows = written(of_class.select("id", "own", F.xxhash64("c1", "c2").alias("cid"), "rep"), "near-rows")
-    reps = written(of_class.where("id = rep AND n > 0").dropDuplicates(["c1", "c2"]).select(F.xxhash64("c1", "c2").alias("id"), "rep", "n", "c1", "c2", "sketch"), "near-reps")
+    counts = first.groupBy("c1", "c2", "id").agg(F.count("*").alias("times"), F.min("n").alias("n"))
+    classes = counts.groupBy("c1", "c2").agg(F.min(F.struct("id", "times")).alias("rep"), F.min("n").alias("n"))
+    classes = written(classes.select("c1", "c2", F.xxhash64("c1", "c2").alias("cid"), F.col("rep.id").alias("rep"), F.col("rep.times").alias("times"), "n"), "near-classes")
+    rows = written(first.select("id", "own", "c1", "c2").join(classes.select("c1", "c2", "cid", "rep"), ["c1", "c2"]).select("id", "own", "cid", "rep"), "near-rows")
+    lone = classes.where("n > 0").select(F.col("cid").alias("id"), "rep", "times", "n", "c1", "c2")
+    reps = written(_once(lone.join(first.select(F.col("id").alias("rep"), "c1", "c2", "sketch"), ["rep", "c1", "c2"]), "id"), "near-reps")
     discard(first, classes)
-    keys = reps.select("id", F.explode("sketch").alias("key"))
-    often = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    buckets = written(keys.join(often, "key", "left_semi").join(reps.select("id", "n"), "id").select("key", "id", "n"), "near-buckets")
-    release(docs.sparkSession)
-
-    needed = written(buckets.select("id").distinct().join(reps.select("id", "rep", "c1", "c2"), "id"), "near-needed")
-    texts = written(_candidate_texts(source.select("id", "text"), needed), "near-texts")
-    release(docs.sparkSession)
+    keys = reps.select("id", "n", F.explode("sketch").alias("key"))
+    often = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "near-keys")
+    release(spark)
+    buckets = written(keys.select("key", "id", "n").join(often, "key", "left_semi"), "near-buckets")
+    release(spark)
+
+    wanted = reps.join(buckets.select("id").distinct(), "id", "left_semi")
+    wanted = written(wanted.select(F.col("id").alias("cid"), F.col("rep").alias("id"), "times", "c1", "c2", "sketch"), "near-wanted")
+    texts = written(_candidate_texts(source.select("id", "text"), wanted).join(wanted.select(F.col("cid").alias("id"), "sketch"), "id"), "near-texts")
+    ids = written(reps.select("id", "rep"), "near-ids")
+    discard(reps, often, wanted)
     links = _links(buckets, texts)
-
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    roots = _groups(links)
-    ids = reps.select("id", "rep")
-    named = roots.join(ids, "id")
+    discard(buckets, texts)
+    named = _groups(links).join(ids, "id")
     lowest = named.groupBy("root").agg(F.min("rep").alias("group"))
-    info = named.join(lowest, "root").join(degree, named.id == degree.a).select(F.col("id").alias("cid"), "root", "group", "n_links")
+    info = named.join(lowest, "root").select(F.col("id").alias("cid"), "root", "group")
     return rows.join(info, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def _candidate_texts(source: DataFrame, needed: DataFrame) -> DataFrame:
+def _candidate_texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, folded) of the representatives; an id with several rows is told apart by the hash of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, c1, c2, keys, out = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), [], []
-            for k, text in enumerate(word_lists(b.column(1).to_pylist())):
-                whole = xxhash.xxh3_128_intdigest(text)
-                if (c1[k] % 2**64, c2[k] % 2**64) == (whole >> 64, whole & (2**64 - 1)):
-                    keys.append(ids[k])
-                    out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["id", "folded"])
-
-    wanted = needed.select(F.col("id").alias("cid"), F.col("rep").alias("id"), "c1", "c2")
-    if needed.count() <= BROADCAST_ROWS:  # 32 bytes each; beyond that, both sides are shuffled
+            ids, c1, c2, at = *(b.column(k).to_pylist() for k in (0, 2, 3)), 0
+            for _, part in slices(b.column(1).to_pylist()):
+                keys, out = [], []
+                for k, text in enumerate(word_lists(part), at):
+                    whole = xxhash.xxh3_128_intdigest(text)
+                    if (c1[k] % 2**64, c2[k] % 2**64) == (whole >> 64, whole & (2**64 - 1)):
+                        keys.append(k)
+                        out.append(text)
+                at += len(part)
+                times = b.column(4).take(pa.array(keys, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keys], pa.int64()), pa.array(out, pa.binary()), times], names=["id", "folded", "times"])
+
+    wanted = wanted.select("cid", "id", "times", "c1", "c2")
+    if wanted.count() <= BROADCAST_ROWS:  # 40 bytes each; beyond that, both sides are shuffled
         wanted = F.broadcast(wanted)
-    return source.join(wanted, "id").select("cid", "text", "c1", "c2").mapInArrow(run, "id long, folded binary").dropDuplicates(["id"])
+    found = source.join(wanted, "id").select("cid", "text", "c1", "c2", "times").mapInArrow(run, "id long, folded binary, times long")
+    return _once(found, "id").drop("times")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from folioquarry.llm import decontam, fold, neardup
@@ -125,7 +126,7 @@ def brute_groups(rows):
     for a, b in itertools.combinations(range(len(rows)), 2):
         x, y = words[a], words[b]
         k = neardup.limit_of(len(x), len(y))
-        if x == y or (x and y and sum((Counter(x) & Counter(y)).values()) >= max(len(x), len(y)) - k and neardup.banded(x, y, k) <= k and _share(x, y)):
+        if x == y or (x and y and sum((Counter(x) & Counter(y)).values()) >= max(len(x), len(y)) - k and neardup.banded(x, y, k) <= k):
             parent[find(b)] = find(a)
     low = {}
     for k, (i, _) in enumerate(rows):
@@ -134,12 +135,6 @@ def brute_groups(rows):
     return Counter((i, None if low[find(k)] == -(2**63) else low[find(k)]) for k, (i, _) in enumerate(rows))
 
 
-def _share(x, y):
-    """Pairs without a common k-mer can never be candidates."""
-    grams = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    return grams(x) & grams(y)
-
-
 def copies(rng):
     rows = []
     for g in range(12):
@@ -166,9 +161,9 @@ def test_groups_of_the_table(spark, sf):
     assert Counter((r["doc_id"], r["class_id"]) for r in got) == brute_groups(rows)
 
 
-@pytest.mark.parametrize("small", [1, 4])
-def test_hot_buckets_go_through_pivots(spark, small, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", small)
+@pytest.mark.parametrize("block", [1, 3, 2048])
+def test_hot_buckets_go_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(9)
     shared, rows = prose(rng, 60), []
     for g in range(15):  # one long passage in texts that differ, each with near copies
@@ -178,6 +173,60 @@ def test_hot_buckets_go_through_pivots(spark, small, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"]) for r in got) == brute_groups(rows)
 
 
+@pytest.mark.parametrize("block", [1, 2048])
+def test_chains_are_not_broken(spark, block, monkeypatch):
+    """Ten chains of texts, each linked to the next only; the ends are far apart, and all share a passage."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(12)
+    passage, rows = prose(rng, 60), []
+    for c in range(10):
+        own = prose(rng, 40)
+        for step in range(4):  # 16 of 100 words more are other ones at each step
+            rows.append((rng.randrange(10**6), " ".join([*passage, *(f"c{c}x{k}" if k < 13 * step else w for k, w in enumerate(own))])))
+    rng.shuffle(rows)
+    want = brute_groups(rows)
+    got = neardup.near_groups(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == want
+
+
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 15, 20, 30, 39, 40, 41, 50, 60, 100, 200, 300])
+def test_recall_at_the_limit_by_length(n):
+    """Pairs of n words with as many changed words, at random places, as the limit allows: a sketch in common."""
+    rng = random.Random(n)
+    found = 0
+    for _ in range(300):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for k in rng.sample(range(n), neardup.limit_of(n, n)):
+            b[k] = f"v{rng.randrange(10**6)}"
+        buf, ends = fold.folded([" ".join(a), " ".join(b)], 0)
+        begins, hashes = neardup.word_hashes(buf)
+        cut = int(np.searchsorted(begins, ends[1]))
+        found += bool(set(neardup.sketch(hashes[:cut]).tolist()) & set(neardup.sketch(hashes[cut:]).tolist()))
+    assert found >= 270
+
+
+def test_lengths_on_both_sides_of_the_two_kinds_of_sketch():
+    """A text just below SHORTEST_LONG words against a longer linked one: both have the short kind."""
+    words = [f"w{k}" for k in range(48)]
+    cut = [w for k, w in enumerate(words) if k % 5]  # 38 words
+    buf, ends = fold.folded([" ".join(words), " ".join(cut)], 0)
+    begins, hashes = neardup.word_hashes(buf)
+    at = int(np.searchsorted(begins, ends[1]))
+    assert set(neardup.sketch(hashes[:at]).tolist()) & set(neardup.sketch(hashes[at:]).tolist())
+    for n in range(1, 120):
+        assert all(n >= neardup.SHORTEST_LONG or m <= neardup.LONGEST_SHORT for m in range(n, 130) if m - n <= neardup.limit_of(m, n))
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(13)
+    texts = [" ".join(prose(rng, 50)) for _ in range(20)] + ["", None, "a", "a a b ab ba"]
+    buf, ends = fold.folded(texts, 0)
+    begins, hashes = neardup.word_hashes(buf)
+    words = [w for t in neardup.word_lists(texts) for w in t.split()]
+    assert len(words) == len(hashes) and len({*zip(words, hashes.tolist(), strict=True)}) == len(set(words)) == len(set(hashes.tolist()))
+
+
 def test_no_rows(spark):
     assert neardup.near_groups(frame(spark, [])).count() == 0 == neardup.keep_one(frame(spark, [])).count()
 
@@ -192,18 +241,6 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     assert words == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5]), (None, "")])
 
 
-def test_pivots_verify_pairs_again_that_were_not_looked_at_for_the_ring(spark):
-    words = prose(random.Random(11), 100)
-    other = lambda *spans: " ".join(f"x{k}" if any(a <= k < b for a, b in spans) else w for k, w in enumerate(words)).encode()
-    texts = spark.createDataFrame([(1, other()), (2, other((0, 18))), (3, other((0, 30)))], "id long, folded binary")
-    buckets = spark.createDataFrame([(5, 1, 100), (5, 2, 100), (5, 3, 100)], "key long, id long, n int")
-    done = neardup._verify(spark.createDataFrame([(1, 3)], "a long, b long"), texts)  # as in the phase of rare words
-    found, known = neardup._round(buckets, texts, done)
-    assert {r["id"]: r["state"] for r in known.collect()} == {2: neardup._LINKED, 3: neardup._RING}
-    links = neardup._linked(done.unionByName(found)).collect()
-    assert [(r["a"], r["b"]) for r in links] == [(1, 2)]
-
-
 @pytest.mark.parametrize("size", [20, 40, 50, 60, 80, 100])
 def test_short_edited_items_agree_with_brute_force(size):
     rng = random.Random(size)
