@@ -40,7 +40,7 @@ def folded(texts: list[str | None], tail: int = 1) -> tuple[np.ndarray, np.ndarr
     return buf, ends
 
 
-def slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def slices(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
     """The texts in runs of about `most` characters, each with the number of its first text."""
     at, size = 0, 0
     for k, t in enumerate(texts):

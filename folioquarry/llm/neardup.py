@@ -43,8 +43,10 @@ SHORTEST_LONG, LONGEST_SHORT = 40, 50
 #: Texts, and words, that a block of a bucket holds on average at most.
 BLOCK, BLOCK_WORDS = 2048, 2_000_000
 BROADCAST_ROWS = 1_000_000
+#: Classes that a task remembers.
+MEMO = 100_000
 _LINKED, _RING, _APART = 0, 1, 2
-_CELLS = 1 << 18
+_CELLS, _STRETCH = 1 << 18, 1 << 18
 _RNG = np.random.default_rng(2019)
 _ODD = _RNG.integers(0, 2**31, SKETCHES + SHORT_SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT = _RNG.integers(1, 2**63, SKETCHES + SHORT_SKETCHES, dtype=np.uint64)
@@ -68,14 +70,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of folded bytes begin, and a 64-bit hash of each."""
+    """Where the words of folded bytes begin, and a 64-bit hash of each; in stretches that end with a word."""
     blank = buf == 32
     begins = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
     ends = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
     if len(ends) < len(begins):
         ends = np.append(ends, len(buf))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[buf] * _powers(_BASE, len(buf)))])
-    return begins, _mixed((sums[ends] - sums[begins]) * _powers(_INVERSE, len(buf))[begins] + (ends - begins).astype(np.uint64))
+    out = np.empty(len(begins), np.uint64)
+    cuts = np.unique(np.searchsorted(begins, np.arange(0, len(buf) + _STRETCH, _STRETCH)))
+    for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = buf[begins[first] : ends[last - 1]]
+        a, z = begins[first:last] - begins[first], ends[first:last] - begins[first]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[own] * _powers(_BASE, len(own)))])
+        out[first:last] = (sums[z] - sums[a]) * _powers(_INVERSE, len(own))[a] + (z - a).astype(np.uint64)
+    return begins, _mixed(out)
 
 
 def _picked(words: np.ndarray, k: int, at: int, count: int) -> np.ndarray:
@@ -124,7 +132,19 @@ def word_lists(texts: list[str | None]) -> Iterator[bytes]:
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
+    """Per row the hash and the number of its words, and its sketch; copies within a task need no second one (empty)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def of(whole: int, words: np.ndarray) -> np.ndarray:
+            if whole in seen:
+                return np.empty(0, np.int64)
+            if len(seen) >= MEMO:
+                seen.clear()
+            seen.add(whole)
+            return sketch(words)
+
         for b in batches:
             at = 0
             for _, part in slices(b.column(1).to_pylist()):
@@ -132,8 +152,8 @@ def _first_pass(docs: DataFrame) -> DataFrame:
                 raw = buf.tobytes()
                 begins, hashes = word_hashes(buf)
                 cuts = np.searchsorted(begins, ends)
-                flat = [sketch(hashes[a:z]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
                 whole = [xxhash.xxh3_128_intdigest(raw[a:z].strip()) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+                flat = [of(w, hashes[a:z]) for w, a, z in zip(whole, cuts[:-1], cuts[1:], strict=True)]
                 signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
                 c1, c2 = signed([w >> 64 for w in whole]), signed([w & (2**64 - 1) for w in whole])
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
@@ -244,13 +264,34 @@ def _stars(buckets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 _BLOCKS = "key long, i int, j int, own int, id long, n int, root long, exact boolean, d int"
 
 
-def _blocks(known: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """A written table of ids: broadcast up to BROADCAST_ROWS rows (of 16 bytes or so), else shuffled."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _with_sketches(texts: DataFrame) -> DataFrame:
+    """(id, folded, sketch) of (id, folded)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = [sketch(word_hashes(np.frombuffer(b" " + t, np.uint8))[1]) for t in b.column(1).to_pylist()]
+            sizes = np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.empty(0, np.int64), *flat]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "folded", "sketch"])
+
+    return texts.select("id", "folded").mapInArrow(run, "id long, folded binary, sketch array<long>")
+
+
+def _blocks(known: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
     """The members of buckets that hold several components, once for every two blocks (i, j) of their bucket that they belong to."""
-    known = written(known.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-known")
+    known = written(known.join(_small(roots), "id", "left").withColumn("root", F.coalesce("root", "id")), "near-known")
     sizes = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.sum("n").alias("words")).where("lo < hi")
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
-    members = known.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    members = members.join(sketches, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = written(known.join(sizes.select("key", blocks.alias("blocks")), "key"), "near-members")
+    ids = written(members.select("id").distinct(), "near-ids")
+    sketches = _with_sketches(texts.join(_small(ids), "id", "left_semi")).select("id", "sketch")
+    members = members.join(sketches, "id").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return members.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "root", "exact", "d", "sketch")
 
 
@@ -399,17 +440,19 @@ def _more_links(needed: DataFrame, texts: DataFrame) -> DataFrame:
             if found := list(_links_in(t)):
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
+    ids = written(needed.select("id").distinct(), "near-ids")
+    texts = _with_sketches(texts.join(_small(ids), "id", "left_semi"))
     both = needed.join(texts, "id").select("key", "i", "j", "own", "id", "n", "root", "exact", "d", "sketch", "folded")
     return written(_in_groups(both).mapInArrow(run, "a long, b long"), "near-more")
 
 
 def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b), a < b: linked pairs that connect what the buckets connect; texts are (id, sketch, folded)."""
-    found, known = _stars(buckets, texts.select("id", "folded"))
+    """(a, b), a < b: linked pairs that connect what the buckets connect; texts are (id, folded)."""
+    found, known = _stars(buckets, texts)
     first = written(found.where(F.col("state") == _LINKED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
     release(texts.sparkSession)
     roots = _groups(first)
-    needed = written(_needed(_blocks(known, roots, texts.select("id", "sketch"))), "near-blocks")
+    needed = written(_needed(_blocks(known, roots, texts)), "near-blocks")
     release(texts.sparkSession)
     return written(first.union(_more_links(needed, texts)).distinct(), "near-links")
 
@@ -466,23 +509,20 @@ def _grouped(docs: DataFrame) -> DataFrame:
     classes = counts.groupBy("c1", "c2").agg(F.min(F.struct("id", "times")).alias("rep"), F.min("n").alias("n"))
     classes = written(classes.select("c1", "c2", F.xxhash64("c1", "c2").alias("cid"), F.col("rep.id").alias("rep"), F.col("rep.times").alias("times"), "n"), "near-classes")
     rows = written(first.select("id", "own", "c1", "c2").join(classes.select("c1", "c2", "cid", "rep"), ["c1", "c2"]).select("id", "own", "cid", "rep"), "near-rows")
-    lone = classes.where("n > 0").select(F.col("cid").alias("id"), "rep", "times", "n", "c1", "c2")
-    reps = written(_once(lone.join(first.select(F.col("id").alias("rep"), "c1", "c2", "sketch"), ["rep", "c1", "c2"]), "id"), "near-reps")
-    discard(first, classes)
-    keys = reps.select("id", "n", F.explode("sketch").alias("key"))
-    often = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "near-keys")
-    release(spark)
-    buckets = written(keys.select("key", "id", "n").join(often, "key", "left_semi"), "near-buckets")
+    keys = first.select(F.xxhash64("c1", "c2").alias("id"), "n", F.explode("sketch").alias("key"))
+    often = written(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "near-keys")
     release(spark)
-
-    wanted = reps.join(buckets.select("id").distinct(), "id", "left_semi")
-    wanted = written(wanted.select(F.col("id").alias("cid"), F.col("rep").alias("id"), "times", "c1", "c2", "sketch"), "near-wanted")
-    texts = written(_candidate_texts(source.select("id", "text"), wanted).join(wanted.select(F.col("cid").alias("id"), "sketch"), "id"), "near-texts")
-    ids = written(reps.select("id", "rep"), "near-ids")
-    discard(reps, often, wanted)
+    buckets = written(keys.select("key", "id", "n").join(often, "key", "left_semi").distinct(), "near-buckets")
+    discard(first, often)
+
+    ids = written(buckets.select("id").distinct(), "near-ids")
+    wanted = written(classes.join(_small(ids), classes.cid == ids.id, "left_semi").select("cid", F.col("rep").alias("id"), "times", "c1", "c2"), "near-wanted")
+    texts = written(_candidate_texts(source.select("id", "text"), wanted), "near-texts")
+    reps = written(classes.join(_small(ids), classes.cid == ids.id, "left_semi").select(F.col("cid").alias("id"), "rep"), "near-reps")
+    discard(classes, wanted)
     links = _links(buckets, texts)
     discard(buckets, texts)
-    named = _groups(links).join(ids, "id")
+    named = _groups(links).join(reps, "id")
     lowest = named.groupBy("root").agg(F.min("rep").alias("group"))
     info = named.join(lowest, "root").select(F.col("id").alias("cid"), "root", "group")
     return rows.join(info, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -505,10 +545,7 @@ def _candidate_texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
                 times = b.column(4).take(pa.array(keys, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in keys], pa.int64()), pa.array(out, pa.binary()), times], names=["id", "folded", "times"])
 
-    wanted = wanted.select("cid", "id", "times", "c1", "c2")
-    if wanted.count() <= BROADCAST_ROWS:  # 40 bytes each; beyond that, both sides are shuffled
-        wanted = F.broadcast(wanted)
-    found = source.join(wanted, "id").select("cid", "text", "c1", "c2", "times").mapInArrow(run, "id long, folded binary, times long")
+    found = source.join(_small(wanted), "id").select("cid", "text", "c1", "c2", "times").mapInArrow(run, "id long, folded binary, times long")
     return _once(found, "id").drop("times")
 
 
