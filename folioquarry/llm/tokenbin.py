@@ -2,13 +2,15 @@
 
 A file is: data frames (each a run of whole documents, ids as little-endian unsigned integers of 2 or 4 bytes, as the
 vocabulary needs); one skippable frame with the document index (that width; id and number of ids of each document;
-zstandard-compressed); one skippable frame with the seek
-table in the public seekable layout (compressed size, size and the low half of XXH64 of each frame, then frame count,
-flags and the magic number 0x8F92EAB1). A reader loads the tail, finds the frames of the documents asked for, and
-decompresses only those.
-
-Texts are range-partitioned by id and encoded on the way into the files, so each is shuffled once and encoded once. Files
-get names of their own for each attempt of a task, and only those reported by the attempt that won are listed and read.
+zstandard-compressed); one skippable frame with the seek table in the public seekable layout (compressed size, size and the
+low half of XXH64 of each frame before it, then frame count, flags and the magic number 0x8F92EAB1). The index is the last
+frame in the table, of size 0, as skippable frames are; other readers of that layout pass over it. A reader loads the tail,
+finds the frames of the documents asked for, and decompresses only those.
+
+Texts are range-partitioned by id (and the hash of the text, so that rows of one id spread) and encoded on the way into the
+files, so each is shuffled once and encoded once. A file ends at FILE_BYTES or FILE_DOCS and the task goes on in another, so
+an index stays small whatever the number of tasks. Files get names of their own for each attempt of a task, and only those
+reported by the attempt that won are listed and read.
 """
 
 from __future__ import annotations
@@ -37,9 +39,10 @@ from folioquarry.llm.wordcut import LETTERS, MARKS, SegmentEncoder
 
 END_ID = 0
 FRAME_BYTES = 1 << 18
+FILE_BYTES, FILE_DOCS = 512 << 20, 1_000_000
 LEVEL = 3
 _SKIP_INDEX, _SKIP_SEEK, _SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-_MANIFEST = "part int, path string, docs long, ids long"
+_MANIFEST = "part int, path string, docs long, ids long, nth int"
 
 
 class Writer:
@@ -49,7 +52,7 @@ class Writer:
         self.sink, self.width, self.frame_bytes = sink, width, frame_bytes
         self.pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.pending: list[bytes] = []
-        self.size = 0
+        self.size = self.written = 0
         self.frames: list[tuple[int, int, int]] = []
         self.ids: list[int] = []
         self.lengths: list[int] = []
@@ -68,6 +71,7 @@ class Writer:
             raw = b"".join(self.pending)
             packed = self.pack.compress(raw)
             self.sink.write(packed)
+            self.written += len(packed)
             self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
             self.pending, self.size = [], 0
 
@@ -75,9 +79,8 @@ class Writer:
         self.flush()
         index = self.pack.compress(np.array([self.width], "<i8").tobytes() + np.array(self.ids, "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes())
         self.sink.write(struct.pack("<II", _SKIP_INDEX, len(index)) + index)
+        self.frames.append((8 + len(index), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
         table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, _SEEK_MAGIC)
-        # the footer is preceded by the index's length, so that a reader can find it from the end
-        table = struct.pack("<I", len(index)) + table
         self.sink.write(struct.pack("<II", _SKIP_SEEK, len(table)) + table)
 
 
@@ -92,11 +95,13 @@ class Reader:
         count, flags, magic = struct.unpack("<IBI", source.read(9))
         if magic != _SEEK_MAGIC or not flags & 0x80:
             raise ValueError("no seek table with checksums")
-        source.seek(end - 9 - 12 * count - 4)
-        head = source.read(4 + 12 * count)
-        self.frames = np.frombuffer(head, "<u4", offset=4).reshape(count, 3).astype(np.int64)
-        index_len = struct.unpack("<I", head[:4])[0]
-        source.seek(end - 9 - 12 * count - 4 - 8 - index_len)
+        source.seek(end - 9 - 12 * count - 8)
+        head = struct.unpack("<II", source.read(8))
+        if head != (_SKIP_SEEK, 12 * count + 9) or not count:
+            raise ValueError("no seek table where it belongs")
+        table = np.frombuffer(source.read(12 * count), "<u4").reshape(count, 3).astype(np.int64)
+        self.frames, index_len = table[:-1], int(table[-1, 0]) - 8
+        source.seek(end - 9 - 12 * count - 8 - index_len)
         raw = zstandard.ZstdDecompressor().decompress(source.read(index_len))
         n = len(raw) // 16
         self.width = int(np.frombuffer(raw, "<i8", 1)[0])
@@ -149,7 +154,6 @@ def _encoder(path: str):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
     width = 2 if made.get_vocab_size() <= 1 << 16 else 4
     code, letters, model = {2: "H", 4: "I"}[width], _byte_letters(), made.model.tokenize
     plain, blank, line_feed = _PLAIN.fullmatch, chr(letters[32]), array(code, [t.id for t in model(chr(letters[10]))]).tobytes()
@@ -173,7 +177,7 @@ def _encoder(path: str):
             out.append(head + array(code, [t.id for t in model(w)]).tobytes())
         return out
 
-    return SegmentEncoder(many, whole, width)
+    return SegmentEncoder(many, whole, width, special=[t.content for t in made.get_added_tokens_decoder().values()])
 
 
 def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, int, int]]:
@@ -186,24 +190,34 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> list[tuple[int, str, in
         part = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.tokz"
-        writer = None
+        attempt, writer, names = uuid.uuid4().hex, None, []
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            writer.sink.close()
+            row = (part, names[-1], len(writer.ids), sum(writer.lengths), len(names))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["part", "path", "docs", "ids", "nth"])
+
         for b in batches:
             ids = b.column(0).to_pylist()
             for first, texts in slices(b.column(1).to_pylist()):
-                if writer is None:
-                    encoder = _encoder(tokenizer)
-                    writer = Writer(fs.open_output_stream(name), encoder.width)
+                encoder = _encoder(tokenizer)
                 for i, own in zip(ids[first:], encoder.payloads([t or "" for t in texts]), strict=False):
+                    if writer is None:
+                        names.append(f"{root}/part-{part:06d}-{len(names):04d}-{attempt}.tokz")
+                        writer = Writer(fs.open_output_stream(names[-1]), encoder.width)
                     writer.add(i, np.append(own, own.dtype.type(END_ID)))
+                    if writer.written >= FILE_BYTES or len(writer.ids) >= FILE_DOCS:
+                        yield closed()
+                        writer = None
         if writer:
-            writer.close()
-            writer.sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(writer.ids)], pa.int64()), pa.array([sum(writer.lengths)], pa.int64())], names=["part", "path", "docs", "ids"])
+            yield closed()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(id_key().alias("id"), "text").repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    return sorted(tuple(r) for r in ordered.mapInArrow(run, _MANIFEST).collect())
+    keyed = docs.select(id_key().alias("id"), "text", F.xxhash64("text").alias("own"))
+    ordered = keyed.repartitionByRange(n, "id", "own").sortWithinPartitions("id", "own", "text").select("id", "text")
+    found = ordered.mapInArrow(run, _MANIFEST).collect()  # a row a file
+    return [tuple(r)[:4] for r in sorted(found, key=lambda r: (r["part"], r["nth"]))]
 
 
 def read(spark, manifest: list[tuple[int, str, int, int]], path: str) -> DataFrame:
@@ -234,7 +248,7 @@ def read(spark, manifest: list[tuple[int, str, int, int]], path: str) -> DataFra
 def token_file_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files.
 
-    Repeated ids lie side by side (equal ones in the order of their texts); null ids come first; an empty table
+    Repeated ids lie side by side (equal ones in the order of the hashes of their texts); null ids come first; an empty table
     gives an empty result; other columns are not read.
     """
     path = fresh_path(docs.sparkSession, "token-files")

@@ -34,11 +34,12 @@ _TABLE = np.random.default_rng(64).integers(0, 2**64, _LONGEST * 256, np.uint64)
 class SegmentEncoder:
     """encode(segments) -> list of the bytes of each; whole(text) -> bytes; width: bytes of an id.
 
+    Texts that hold one of the `special` strings are encoded as a whole, as such a string can span segments.
     Without `whole`, cuts are made before runs of blanks and line feeds only, in every text. The memo holds two generations of `limit` segments; what the younger one uses survives.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None, width: int, limit: int = 300_000):
-        self.encode, self.whole, self.width, self.limit = encode, whole, width, limit
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None, width: int, limit: int = 300_000, special: list[str] | None = None):
+        self.encode, self.whole, self.width, self.limit, self.special = encode, whole, width, limit, special or []
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
 
@@ -64,6 +65,10 @@ class SegmentEncoder:
                 out[k] = np.frombuffer(self.whole(texts[k]), kind)
             own = kinds[at[k] : at[k + 1]]
             own[own != _SPACE] = _WORD
+        for word in self.special:
+            if word.encode() in joined:
+                for k in [k for k, t in enumerate(texts) if word in t]:
+                    out[k] = np.frombuffer(self.whole(texts[k]), kind)
         begins = np.empty(len(buf), bool)
         begins[0] = True
         begins[1:] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _SPACE)

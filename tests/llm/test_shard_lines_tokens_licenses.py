@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -153,7 +154,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(queries._tokenizer("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     return made
 
 
@@ -192,7 +192,50 @@ def test_frames_open_one_by_one_and_show_damage():
         damaged.frame(5)
 
 
-@pytest.mark.parametrize("text", ["a  b\n\n c", " lead", "trail \n ", "it's we'll  don't\n'quoted'", "x\t\n y　z   w", "1 2  33\n4", "a,  b  ,c\n\n", "Été, naïve's ×÷ don't. can't... (x) [y]-z` ~q 'll", "<|endoftext|> <|endoftext|>x"])
+def test_the_public_layout_is_readable_by_another_reader():
+    """A plain reader of the public seekable layout: the table is the last frame, its entries cover every frame before it."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    sink = io.BytesIO()
+    writer = tokenbin.Writer(sink, frame_bytes=64)
+    for k in range(40):
+        writer.add(k, np.arange(k, dtype="<u4"))
+    writer.close()
+    raw = sink.getvalue()
+    count, flags, magic = struct.unpack("<IBI", raw[-9:])
+    at = len(raw) - 9 - 12 * count - 8
+    assert magic == 0x8F92EAB1 and flags == 0x80 and struct.unpack("<II", raw[at : at + 8]) == (0x184D2A5E, 12 * count + 9)
+    place, out = 0, b""
+    for k in range(count):
+        packed, size, check = struct.unpack_from("<III", raw, at + 8 + 12 * k)
+        frame = raw[place : place + packed]
+        if size:
+            data = zstandard.ZstdDecompressor().decompress(frame, max_output_size=size)
+        else:
+            assert struct.unpack("<I", frame[:4])[0] & 0xFFFFFFF0 == 0x184D2A50
+            data = b""
+        assert len(data) == size and xxhash.xxh64_intdigest(data) & 0xFFFFFFFF == check
+        out += data
+        place += packed
+    assert place == at and out == b"".join(np.arange(k, dtype="<u4").tobytes() for k in range(40))
+    with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True) as whole:
+        assert whole.read() == out
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_files_end_at_their_size(spark, docs, most, monkeypatch, tmp_path):
+    want = Counter(map(tuple, tokenbin.token_file_digests(docs, queries._tokenizer("byte_bpe_50k.json")).collect()))
+    monkeypatch.setattr(tokenbin, "FILE_DOCS", most)
+    path = f"file://{tmp_path}/tokens"
+    files = tokenbin.write(docs, queries._tokenizer("byte_bpe_50k.json"), path)
+    assert max((f[2] for f in files), default=0) <= most and sum(f[2] for f in files) == docs.count()
+    assert Counter(map(tuple, tokenbin.read(spark, files, path).collect())) == want
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "a  b\n\n c", " lead", "trail \n ", "it's we'll  don't\n'quoted'", "x\t\n y　z   w", "1 2  33\n4", "a,  b  ,c\n\n", "Été, naïve's ×÷ don't. can't... (x) [y]-z` ~q 'll", "<|endoftext|> <|endoftext|>x"])
 def test_cut_segments_encode_as_the_whole(text):
     encoder = tokenbin._encoder(queries._tokenizer("byte_bpe_50k.json"))
     for texts in ([text], ["", text, "x", text + text, ""], ["a" * 100 + text, "a" * 64, "a" * 65 + " b", "a" * 64 + "c"]):
@@ -210,7 +253,9 @@ def strings_of(parsed):
             more = strings_of(arg[3])
         elif op == "BRANCH":
             more = {x for a in arg[1] for x in strings_of(a)}
-        elif op == "MAX_REPEAT":
+        elif op == "ANY":
+            more = {"x"}
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
             more = strings_of(arg[2]) | ({""} if arg[0] == 0 else set())
         elif op == "IN":
             more = {" "} if str(arg[0][0]) == "NEGATE" else {chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg}
@@ -225,7 +270,7 @@ def test_keywords_occur_in_all_that_a_rule_matches():
     from re import _parser
 
     for r in licenses.rules():
-        if r.pattern.pattern.startswith(b"(?<!") and r.priority != 40:
+        if r.pattern.pattern.startswith(b"(?<!") and r.priority not in (40, 85):
             continue  # templates around the bare name
         for t in strings_of(_parser.parse(r.pattern.pattern)):
             assert any(k in t for k in r.keywords), (r.label, t)
@@ -234,3 +279,52 @@ def test_keywords_occur_in_all_that_a_rule_matches():
 @pytest.mark.parametrize("text, label", [("GNU Library General Public License", "lgpl"), ("under the Expat License", "mit")])
 def test_names_without_the_first_keyword(text, label):
     assert label in {licenses.rules()[k].label for k, _, _ in licenses.scan(text)[2]}
+
+
+def plain_detections(text):
+    """Every rule over the whole text, without keywords; a detection inside an earlier one goes, each pair compared."""
+    folded = (text or "").encode().lower()
+    every = licenses.rules()
+    hits = sorted(((-r.priority, m.start() - m.end(), m.start(), k, m.end()) for k, r in enumerate(every) for m in r.pattern.finditer(folded)))
+    stay = []
+    for _, _, start, k, stop in hits:
+        if not any(a <= start and stop <= b for _, a, b in stay):
+            stay.append((k, start, stop))
+    return stay
+
+
+def test_labels_and_score_agree_with_brute_force(spark):
+    rng = random.Random(21)
+    phrases = ["GNU General Public License", "Apache License, Version 2.0", "CC BY 4.0", "MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Redistribution and use in source and binary forms, with or without modification, are permitted", "released into the public domain", "SPDX-License-Identifier: BSD-3-Clause", "https://www.gnu.org/licenses/gpl-3.0.html", "Copyright 2020 Some One.\nAll rights reserved", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "licensed under the Mozilla Public License v2.0", "This program is distributed under the terms of the GNU Lesser General Public License version 2.1 or later", "public domain debate", "the software shall be used for Good, not Evil"]
+    rows = [(None, None), (1, ""), (2, "mit license " * 3000)]
+    for k in range(120):
+        words = [rng.choice(["the", "license", "free", "public", "under", "x", "é"]) for _ in range(rng.randrange(60))]
+        for _ in range(rng.randrange(4)):
+            words.insert(rng.randint(0, len(words)), rng.choice(phrases))
+        rows.append((k + 3, " ".join(words)))
+    got = {r["doc_id"]: r for r in licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = Counter((r["doc_id"], r["label"], r["start"], r["stop"]) for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    every, want = licenses.rules(), Counter()
+    for i, text in rows:
+        found = plain_detections(text) if i != 2 else None
+        if found is None:
+            assert got[i]["n_base"] == 3000 and got[i]["labels"] == "mit"
+            want.update({k: n for k, n in spans.items() if k[0] == 2})
+            continue
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert set(filter(None, got[i]["labels"].split(","))) == base | {every[k].label for k, _, _ in found}
+        miss = 0.1 ** len(base)
+        for k, _, _ in found:
+            miss *= 1 - every[k].confidence
+        assert abs(got[i]["score"] - (1 - miss)) < 1e-12
+        want.update((i, every[k].label, a, z) for k, a, z in found)
+    assert spans == want
+
+
+@pytest.mark.parametrize("text, label", [("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"), ("Redistribution and use in source and binary forms, with or\nwithout modification, are permitted provided", "bsd"), ("You can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"), ("CreativeML OpenRAIL-M license", "openrail"), ("creative commons attribution-noncommercial-sharealike", "cc-by-nc-sa")])
+def test_sentences_of_license_texts(text, label):
+    assert label in {licenses.rules()[k].label for k, _, _ in licenses.scan(text)[2]}
+
+
+def test_a_bare_word_is_no_license():
+    assert licenses.scan("a public domain debate")[2] == []
