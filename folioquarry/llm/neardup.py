@@ -255,7 +255,7 @@ def _stars(buckets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified pairs (a, b) of pivots and members; and (key, id, n, exact, d) of all members: their distance to the pivot, or a lower bound of it."""
     pivots = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
     stars = buckets.join(pivots, "key").where(F.col("id") != F.col("p.id"))
-    stars = stars.select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    stars = stars.select("key", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
     found = _verify(stars.where(_near_pivot(F.col("na"), F.col("nb"))).select("a", "b").distinct(), texts)
     known = stars.join(found, ["a", "b"], "left")
     return found, known.select("key", F.col("b").alias("id"), F.col("nb").alias("n"), F.coalesce(F.col("state") != _APART, F.lit(False)).alias("exact"), F.coalesce("d", F.abs(F.col("na") - F.col("nb"))).alias("d"))
@@ -510,10 +510,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     classes = written(classes.select("c1", "c2", F.xxhash64("c1", "c2").alias("cid"), F.col("rep.id").alias("rep"), F.col("rep.times").alias("times"), "n"), "near-classes")
     rows = written(first.select("id", "own", "c1", "c2").join(classes.select("c1", "c2", "cid", "rep"), ["c1", "c2"]).select("id", "own", "cid", "rep"), "near-rows")
     keys = first.select(F.xxhash64("c1", "c2").alias("id"), "n", F.explode("sketch").alias("key"))
-    often = written(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "near-keys")
-    release(spark)
-    buckets = written(keys.select("key", "id", "n").join(often, "key", "left_semi").distinct(), "near-buckets")
-    discard(first, often)
+    buckets = written(_repeated(keys), "near-buckets")
+    discard(first)
 
     ids = written(buckets.select("id").distinct(), "near-ids")
     wanted = written(classes.join(_small(ids), classes.cid == ids.id, "left_semi").select("cid", F.col("rep").alias("id"), "times", "c1", "c2"), "near-wanted")
@@ -528,6 +526,34 @@ def _grouped(docs: DataFrame) -> DataFrame:
     return rows.join(info, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
+def _repeated(keys: DataFrame) -> DataFrame:
+    """The rows (key, id, n) whose key several ids have, each once: neighbours in one sort, which cuts hot keys into ranges.
+
+    The first and the last key of a range are kept in any case; such a key may have one id only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["key", "id", "n"])
+
+        last, stays = None, True
+        for b in batches:
+            rows = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            rows = rows if last is None else np.concatenate([last, rows], 1)
+            rows = rows[:, np.concatenate([[True], (rows[:2, 1:] != rows[:2, :-1]).any(0)])] if rows.shape[1] else rows
+            if not rows.shape[1]:
+                continue
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.concatenate([[stays], same]) | np.concatenate([same, [False]])
+            yield batch(rows[:, :-1][:, keep[:-1]])
+            last, stays = rows[:, -1:], bool(keep[-1])
+        if last is not None:
+            yield batch(last)
+
+    ordered = keys.select("key", "id", "n").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    return ordered.mapInArrow(run, "key long, id long, n int")
+
+
 def _candidate_texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, folded) of the representatives; an id with several rows is told apart by the hash of its words."""
 

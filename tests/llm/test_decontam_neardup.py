@@ -312,3 +312,22 @@ def test_items_without_blanks():
     items = [(i, "".join(rng.choices(letters, k=40))) for i in range(20)]
     docs = ["".join([*rng.choices(letters, k=100), *(rng.choice(letters) if rng.random() < 0.05 else c for c in t), *rng.choices(letters, k=50)]) for _, t in items]
     assert {(d, i) for d, i, *_ in decontam.Index(items).leaks(docs)} == {(k, k) for k in range(20)}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_repeated_keys_across_ranges(spark, parts):
+    rng = random.Random(17)
+    rows = [(rng.choice([5, 6, -9, *range(100, 400)]), rng.randrange(40), 7) for _ in range(600)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = neardup._repeated(spark.createDataFrame(rows, "key long, id long, n int")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ids = {}
+    for k, i, _ in rows:
+        ids.setdefault(k, set()).add(i)
+    want = {(k, i) for k, own in ids.items() if len(own) > 1 for i in own}
+    found = {(r["key"], r["id"]) for r in got}
+    assert want <= found and len(found - want) <= 2 * parts
+    assert neardup._repeated(spark.createDataFrame([], "key long, id long, n int")).count() == 0
