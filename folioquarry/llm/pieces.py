@@ -3,15 +3,18 @@
 A model file is read here (no library) and compiled to three machines:
 
 * the normaliser: blanks become U+2581, one more of them is put in front of a text;
-* the pieces: one arc for each piece of the vocabulary, and for a character without a piece its byte pieces;
+* the pieces: a trie whose states and arcs stand in flat arrays (an arc for each state and character that follows); a
+  path from the root to a final state reads a piece, emits its id and weighs its negated score. For a character that no piece
+  is, a fallback arc emits its byte pieces (or the unknown piece) at a weight above all others;
 * for merge-based models, an acceptor of pairs of adjacent pieces. Merging by rank is a local law: a sequence of pieces is
   what the merges make of a text if and only if, for each two neighbours a and b, merging the string ab gives (a, b) again.
   Other pairs weigh infinity. So composition leaves one path of finite weight to each place of the text, and the
-  tropical-semiring shortest path is the very encoding that the model's merges define.
+  tropical-semiring shortest path is the very encoding that the model's merges define. For unigram models no pair is ruled out.
 
-For unigram models the weights are the negated scores and no pair is ruled out. In both cases the shortest path is found by
-relaxing the arcs of the composed lattice from left to right. No piece spans a character before U+2581 or a line feed, so
-texts are cut there and each segment is composed once (see wordcut.py).
+The shortest path relaxes the arcs of the composed lattice from left to right, for all segments at once: each
+place has the weight of the lightest path to it and the piece that it ends with. No piece spans a character before U+2581 or
+a line feed, so texts are cut there and each segment is composed once (see wordcut.py); segments of more than WIDEST
+characters are relaxed one by one.
 
 Decoding maps ids to pieces, bytes to characters, U+2581 to blanks, and takes the first blank off. Every text without
 U+2581 of its own comes back exactly.
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioquarry.llm.fold import slices
+from folioquarry.llm.hashtable import HashTable
 from folioquarry.llm.wordcut import SegmentEncoder
 
 # Fixed values of the public model format: kinds of pieces and of models.
@@ -38,8 +41,11 @@ _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
 _SPACE = "▁"
 _UNKNOWN_COST = 10.0
-#: Verdicts on pairs that a worker keeps.
-MOST_PAIRS = 400_000
+#: Places (as a power of two) for the verdicts on pairs that a worker keeps.
+PAIR_BITS = 20
+#: Longer segments are relaxed one by one.
+WIDEST = 40
+_CODE_BITS = 21
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -97,11 +103,29 @@ class Machine:
         self.unknown = next((k for k, kind in enumerate(self.kinds) if kind == _UNKNOWN), 0)
         self.longest = max(map(len, self.id_of), default=1)
         self.fallback_cost = max([c for c, k in zip(self.costs, self.kinds, strict=True) if k == _NORMAL], default=0.0) + _UNKNOWN_COST
-        self.arcs = {p[:k]: False for p in self.id_of for k in range(1, len(p))} | dict.fromkeys(self.id_of, True)  # the beginnings of pieces
-        self.pairs: dict[str, dict[str, bool]] = {}
-        self.n_pairs = 0
+        self._compile()
+        self.verdicts = HashTable(PAIR_BITS)
         self.text_of = [p.replace(_SPACE, " ").encode() if k in (_NORMAL, _USER, _UNUSED) else bytes([int(p[3:5], 16)]) if k == _BYTE else b" \xe2\x81\x87 " if k == _UNKNOWN else b"" for p, k in zip(self.pieces, self.kinds, strict=True)]
 
+    def _compile(self) -> None:
+        """The trie of the pieces: arcs (state, character) -> state in one table; the piece that ends in a state, or -1."""
+        arcs: dict[int, int] = {}
+        final = [-1]
+        for piece, k in self.id_of.items():
+            state = 0
+            for c in piece:
+                key = state << _CODE_BITS | ord(c)
+                state = arcs.get(key, 0)
+                if not state:
+                    state = arcs[key] = len(final)
+                    final.append(-1)
+            final[state] = k
+        self.arcs = HashTable(max(4, int(len(arcs) / 0.5).bit_length()))
+        self.arcs.add(np.array(list(arcs), np.uint64), np.array(list(arcs.values()), np.int64))
+        self.final = np.array(final, np.int64)
+        self.weight = np.array(self.costs, np.float64)
+        self.fallback_at = len(self.pieces)  # fallback arcs emit this plus the character
+
     def merged(self, text: str) -> list[str]:
         """What the merges make of a short string: always the best-ranked pair, the first of equal ones."""
         parts = list(text)
@@ -118,61 +142,129 @@ class Machine:
         return parts
 
     def follows(self, a: str, b: str) -> bool:
-        """Whether piece b may stand after piece a ("" at the start); kept, as pairs are few."""
-        own = self.pairs.setdefault(a, {})
-        ok = own.get(b)
-        if ok is None:
-            self.n_pairs += 1
-            if self.n_pairs > MOST_PAIRS:
-                self.pairs.clear()
-                self.n_pairs, own = 1, self.pairs.setdefault(a, {})
-            ok = own[b] = self.merged(a + b) == ([a, b] if a else [b])
-        return ok
-
-    def shortest_path(self, text: str) -> list[str]:
-        """The pieces of the lightest path through the lattice of a normalised string."""
+        """Whether piece b may stand after piece a ("" at the start)."""
+        return self.merged(a + b) == ([a, b] if a else [b])
+
+    def _string(self, k: int) -> str:
+        return "" if k < 0 else self.pieces[k] if k < self.fallback_at else chr(k - self.fallback_at)
+
+    def _allowed(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """The acceptor's verdicts on pairs, kept in a table; what is not there is worked out."""
+        keys = ((before + 1) << (_CODE_BITS + 1) | piece).astype(np.uint64)
+        out = self.verdicts.find(keys)
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            fresh, back = np.unique(keys[new], return_inverse=True)
+            mask = (1 << (_CODE_BITS + 1)) - 1
+            ok = np.array([self.follows(self._string((k >> (_CODE_BITS + 1)) - 1), self._string(k & mask)) for k in fresh.tolist()], np.int64)
+            out[new] = ok[back]
+            self.verdicts.add(fresh, ok)
+        return out > 0
+
+    def _relax(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of characters, longest first: the piece that the lightest path to each place ends with, and its length."""
+        rows, n = codes.shape
+        cost = np.full((rows, n + 1), np.inf)
+        cost[:, 0] = 0.0
+        last = np.full((rows, n + 1), -1, np.int64)
+        size = np.zeros((rows, n + 1), np.int32)
+        reach = np.searchsorted(-sizes, -np.arange(n + 1), "right")  # so many rows have a place k
+        for start in range(n):
+            own, state = np.arange(reach[start + 1]), np.zeros(reach[start + 1], np.int64)
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                if own[-1] >= reach[end]:
+                    stays = int(np.searchsorted(own, reach[end]))
+                    own, state = own[:stays], state[:stays]
+                    if not stays:
+                        break
+                code = codes[own, end - 1]
+                onward = self.arcs.find((state << _CODE_BITS | code).astype(np.uint64))
+                piece = self.final[onward]  # no arc: the last state's, seen to below
+                found = onward >= 0
+                if end == start + 1:
+                    fallback = ~found | (piece < 0)
+                    piece = np.where(fallback, self.fallback_at + code, piece)
+                    weight = np.where(fallback, self.fallback_cost, self.weight[np.where(fallback, 0, piece)])
+                    who = own
+                else:
+                    ends = np.flatnonzero(found & (piece >= 0))
+                    piece = piece[ends]
+                    weight, who = self.weight[piece], own[ends]
+                if len(who):
+                    total = cost[who, start] + weight
+                    if self.merges:
+                        total[~self._allowed(last[who, start], piece)] = np.inf
+                    better = total < cost[who, end]
+                    who = who[better]
+                    cost[who, end], last[who, end], size[who, end] = total[better], piece[better], end - start
+                own, state = own[found], onward[found]
+                if not len(own):
+                    break
+        return last, size
+
+    def _emitted(self, piece: int) -> list[int]:
+        if piece < self.fallback_at:
+            return [piece]
+        if not self.byte_ids:
+            return [self.unknown]
+        return [self.byte_ids[c] for c in chr(piece - self.fallback_at).encode("utf-8", "surrogatepass")]
+
+    def encode_segments(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each segment, by shortest paths."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        wide = [k for k, t in enumerate(texts) if 0 < len(t) <= WIDEST]
+        for k in {*range(len(texts))} - {*wide}:
+            out[k] = np.array(self.encode_segment(texts[k]), np.int64)
+        wide.sort(key=lambda k: -len(texts[k]))
+        for first in range(0, len(wide), 1 << 13):
+            own = wide[first : first + (1 << 13)]
+            sizes = np.array([len(texts[k]) for k in own])
+            flat = np.frombuffer("".join([texts[k] for k in own]).replace(" ", _SPACE).encode("utf-32-le", "surrogatepass"), "<u4")
+            codes = np.zeros((len(own), int(sizes[0])), np.int64)
+            codes[np.arange(codes.shape[1]) < sizes[:, None]] = flat
+            last, size = self._relax(codes, sizes)
+            place, row, columns = sizes.copy(), np.arange(len(own)), []
+            while place.any():
+                columns.append(np.where(place > 0, last[row, place], -1))
+                place = place - size[row, place]
+            path = np.stack(columns[::-1], 1)
+            falls = (path >= self.fallback_at).any(1)
+            flat, counts = path[path >= 0], (path >= 0).sum(1)
+            ends = np.cumsum(counts)
+            for j, (k, a, z) in enumerate(zip(own, (ends - counts).tolist(), ends.tolist(), strict=True)):
+                out[k] = flat[a:z] if not falls[j] else np.array([i for p in flat[a:z].tolist() for i in self._emitted(p)], np.int64)
+        return out
+
+    def shortest_path(self, text: str) -> list[int]:
+        """The pieces of the lightest path through the lattice of one normalised string, as _relax() gives them."""
         n, ids, longest = len(text), self.id_of, self.longest
-        last: list[str | None] = [""] + [None] * n
-        if self.merges:
-            arcs, pairs, follows = self.arcs, self.pairs, self.follows
-            after: list[dict | None] = [pairs.setdefault("", {})] + [None] * n
-            for start in range(n):
-                allowed = after[start]
-                for end in range(start + 1, min(n, start + longest) + 1):
-                    piece = text[start:end]
-                    whole = arcs.get(piece)
-                    if whole is None and end > start + 1:
-                        break  # no piece begins like this
-                    if last[end] is None and (whole or end == start + 1):
-                        ok = allowed.get(piece)
-                        if ok or ok is None and follows(last[start], piece):
-                            last[end] = piece
-                            after[end] = pairs.setdefault(piece, {})
-        else:
-            cost = [0.0] + [float("inf")] * n
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    i = ids.get(text[start:end])
-                    weight = self.costs[i] if i is not None else self.fallback_cost if start == end - 1 else None
-                    if weight is not None and cost[start] + weight < cost[end]:
-                        cost[end], last[end] = cost[start] + weight, text[start:end]
+        cost, last, size = [0.0] + [float("inf")] * n, [-1] * (n + 1), [0] * (n + 1)
+        verdict: dict[tuple[int, int], bool] = {}
+        for start in range(n):
+            for end in range(start + 1, min(n, start + longest) + 1):
+                piece = ids.get(text[start:end])
+                if piece is None:
+                    if end > start + 1:
+                        continue
+                    piece, weight = self.fallback_at + ord(text[start]), self.fallback_cost
+                else:
+                    weight = self.costs[piece]
+                if cost[start] + weight < cost[end]:
+                    if self.merges:
+                        pair = (last[start], piece)
+                        if pair not in verdict:
+                            verdict[pair] = self.follows(self._string(pair[0]), self._string(piece))
+                        if not verdict[pair]:
+                            continue
+                    cost[end], last[end], size[end] = cost[start] + weight, piece, end - start
         path, at = [], n
         while at:
             path.append(last[at])
-            at -= len(last[at])
+            at -= size[at]
         return path[::-1]
 
     def encode_segment(self, text: str) -> list[int]:
-        out, ids = [], self.id_of
-        for piece in self.shortest_path(text.replace(" ", _SPACE)):
-            i = ids.get(piece)
-            if i is not None:
-                out.append(i)
-            elif self.byte_ids:
-                out += [self.byte_ids[c] for c in piece.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
-        return out
+        return [i for p in self.shortest_path(text.replace(" ", _SPACE)) for i in self._emitted(p)]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.text_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -184,8 +276,12 @@ def _coder(path: str) -> tuple[Machine, SegmentEncoder]:
     with open(path, "rb") as f:
         machine = Machine(f.read())
     width = 2 if len(machine.pieces) <= 1 << 16 else 4
-    code = {2: "H", 4: "I"}[width]
-    return machine, SegmentEncoder(lambda words: [array(code, machine.encode_segment(w)).tobytes() for w in words], None, width, 250_000)
+
+    def many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = machine.encode_segments(words)
+        return np.concatenate([np.empty(0, np.int64), *out]), np.array([len(x) for x in out], np.int64)
+
+    return machine, SegmentEncoder(many, None, width)
 
 
 def encode_texts(texts: list[str | None], model: str) -> list[np.ndarray]:

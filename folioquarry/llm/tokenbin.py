@@ -161,7 +161,7 @@ def _encoder(path: str):
     def whole(text: str) -> bytes:
         return array(code, made.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def many(words: list[str]) -> list[bytes]:
+    def many(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = []
         for w in words:
             if not plain(w):
@@ -175,7 +175,7 @@ def _encoder(path: str):
             elif w[0] == " ":
                 w = blank + w[1:]
             out.append(head + array(code, [t.id for t in model(w)]).tobytes())
-        return out
+        return np.frombuffer(b"".join(out), f"<u{width}"), np.array([len(x) for x in out], np.int64) // width
 
     return SegmentEncoder(many, whole, width, special=[t.content for t in made.get_added_tokens_decoder().values()])
 

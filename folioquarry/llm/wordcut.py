@@ -14,6 +14,8 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
+from folioquarry.llm.hashtable import HashTable
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation without the apostrophe, which can belong to a contraction
 #: White space other than blanks and line feeds.
@@ -32,16 +34,16 @@ _TABLE = np.random.default_rng(64).integers(0, 2**64, _LONGEST * 256, np.uint64)
 
 
 class SegmentEncoder:
-    """encode(segments) -> list of the bytes of each; whole(text) -> bytes; width: bytes of an id.
+    """encode(segments) -> (the ids of all in a row, how many of each); whole(text) -> bytes; width: bytes of an id.
 
     Texts that hold one of the `special` strings are encoded as a whole, as such a string can span segments.
-    Without `whole`, cuts are made before runs of blanks and line feeds only, in every text. The memo holds two generations of `limit` segments; what the younger one uses survives.
+    Without `whole`, cuts are made before runs of blanks and line feeds only, in every text. The memo holds about
+    0.6 * 2**bits segments and their ids, and starts anew when it is full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None, width: int, limit: int = 300_000, special: list[str] | None = None):
-        self.encode, self.whole, self.width, self.limit, self.special = encode, whole, width, limit, special or []
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], bytes] | None, width: int, bits: int = 19, special: list[str] | None = None):
+        self.encode, self.whole, self.width, self.special = encode, whole, width, special or []
+        self.memo, self.pool, self.used = HashTable(bits), np.empty(1 << 16, f"<u{width}"), 0
 
     def payloads(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of unsigned integers."""
@@ -84,12 +86,13 @@ class SegmentEncoder:
         codes, uniques = pd.factorize(h)
         first = np.empty(len(uniques), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
-        pieces = self._known(uniques.tolist(), first, starts, sizes, joined, set(codes[long].tolist()))
+        skip = np.zeros(len(uniques), bool)
+        skip[codes[long]] = True
+        pool, lens = self._known(uniques, first, starts, sizes, joined, skip)
         if len(long):  # beyond the table: each on its own
-            codes[long] = len(pieces) + np.arange(len(long))
-            pieces += self.encode([joined[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)])
-        pool = np.frombuffer(b"".join(pieces), kind)
-        lens = np.array([len(p) for p in pieces], np.int64) // self.width
+            codes[long] = len(uniques) + np.arange(len(long))
+            more, n = self._encoded(starts[long], sizes[long], joined)
+            pool, lens = np.concatenate([pool, more]), np.concatenate([lens, n])
         offs = np.cumsum(lens) - lens
         each = lens[codes]
         ends = np.cumsum(each)
@@ -97,21 +100,40 @@ class SegmentEncoder:
         cut = np.concatenate([[0], ends])[np.searchsorted(starts, at)]
         return [ids[cut[k] : cut[k + 1]] if out[k] is None else out[k] for k in range(len(texts))]
 
-    def _known(self, hashes: list[int], first: np.ndarray, starts: np.ndarray, sizes: np.ndarray, joined: bytes, skip: set[int]) -> list[bytes]:
-        if len(self.young) + len(hashes) > self.limit:
-            self.old, self.young = self.young, {}
-        get = self.young.get
-        pieces = [get(h) for h in hashes]
-        missing = []
-        for k in [k for k, p in enumerate(pieces) if p is None]:
-            if k in skip:  # a hash of the first bytes only
-                pieces[k] = b""
-            elif (p := self.old.get(hashes[k])) is not None:
-                pieces[k] = self.young[hashes[k]] = p
-            else:
-                missing.append(k)
-        where = first[missing] if missing else first[:0]
-        words = [joined[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts[where].tolist(), sizes[where].tolist(), strict=True)]
-        for k, p in zip(missing, self.encode(words), strict=True):
-            pieces[k] = self.young[hashes[k]] = p
-        return pieces
+    def _encoded(self, starts: np.ndarray, sizes: np.ndarray, joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+        flat, lens = self.encode([joined[a : a + n].decode("utf-8", "surrogatepass") for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        return flat.astype(f"<u{self.width}"), lens
+
+    def _known(self, hashes: np.ndarray, first: np.ndarray, starts: np.ndarray, sizes: np.ndarray, joined: bytes, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments in a row, and how many each has; those to skip (known by their first bytes only) have none."""
+        found = self.memo.find(hashes)
+        missing = np.flatnonzero((found < 0) & ~skip)
+        known = np.flatnonzero((found >= 0) & ~skip)
+        lens, source = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        lens[known], source[known] = found[known] & 0xFFFF, found[known] >> 16
+        flat, n = self._encoded(starts[first[missing]], sizes[first[missing]], joined)
+        lens[missing] = n
+        into = np.cumsum(lens) - lens
+        out = np.empty(int(lens.sum()), flat.dtype)
+        out[_runs(into[known], lens[known])] = self.pool[_runs(source[known], lens[known])]
+        out[_runs(into[missing], n)] = flat
+        self._remember(hashes[missing], flat, n)
+        return out, lens
+
+    def _remember(self, hashes: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        if self.memo.n + len(hashes) > self.memo.most:
+            self.memo.clear()
+            self.used = 0
+        if len(hashes) > self.memo.most:
+            return
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(len(flat), self.used), self.pool.dtype)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.memo.add(hashes, (self.used + np.cumsum(n) - n) << 16 | n)
+        self.used += len(flat)
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs in a row."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)

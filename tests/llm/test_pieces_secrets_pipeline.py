@@ -61,8 +61,43 @@ def test_unigram_path_is_the_lightest():
     def every(t):
         return [[]] if not t else [[t[:k], *rest] for k in range(1, len(t) + 1) if t[:k] in machine.id_of for rest in every(t[k:])]
 
-    for t in ("hello", "walking", "▁the", "abab"):
-        assert cost(machine.shortest_path(t)) == min(map(cost, every(t)))
+    words = ["hello", "walking", "▁the", "abab", "x", "the", "walkings"]
+    for t, ids in zip(words, machine.encode_segments(words), strict=True):
+        path = [machine.pieces[i] for i in machine.shortest_path(t)]
+        assert "".join(path) == t and cost(path) == min(map(cost, every(t)))
+        assert cost([machine.pieces[i] for i in ids]) == cost(path)
+
+
+def test_segments_at_once_as_one_by_one():
+    import random
+
+    rng = random.Random(31)
+    words = ["".join(rng.choices("abcdeinorst éß漢\U0001f600\n", k=rng.randint(0, 60))).replace(" ", "▁") for _ in range(400)]
+    for merges in (True, False):
+        machine = pieces.Machine(open(MODEL, "rb").read())
+        machine.merges = merges
+        for t, ids in zip(words, machine.encode_segments(words), strict=True):
+            one = machine.encode_segment(t)
+            if merges:
+                assert ids.tolist() == one
+            else:
+                assert sum(machine.costs[i] for i in ids if i not in machine.byte_ids.values()) == pytest.approx(sum(machine.costs[i] for i in one if i not in machine.byte_ids.values()))
+
+
+def test_hash_table():
+    from folioquarry.llm.hashtable import HashTable
+
+    rng = np.random.default_rng(3)
+    table, held = HashTable(8), {}
+    for _ in range(6):
+        keys = np.setdiff1d(rng.integers(0, 2**20, 30, dtype=np.uint64), np.array(list(held), np.uint64))
+        if table.n + len(keys) > table.most:
+            held.clear()
+        values = rng.integers(0, 2**40, len(keys))
+        table.add(keys, values)
+        held.update(zip(keys.tolist(), values.tolist(), strict=True))
+        asked = np.concatenate([np.array(list(held), np.uint64), np.arange(2**21, 2**21 + 50, dtype=np.uint64)])
+        assert table.find(asked).tolist() == [held.get(k, -1) for k in asked.tolist()]
 
 
 def test_forest_on_held_out_findings():
