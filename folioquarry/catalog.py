@@ -132,18 +132,29 @@ def doc_char_classes(spark, sf_dir):
 
 
 _FEATURES = """SELECT *, list_filter(list_transform(string_split_regex(text, '[。！？!?]+'), lambda s: regexp_replace(s, '[ \\t\\r\\n\\f\\x0B]', '', 'g')), lambda s: s <> '') AS s,
-  len(regexp_extract_all(text, '[A-Za-z]')) AS ac, len(regexp_extract_all(text, '[A-Za-z]+')) AS ar, len(regexp_extract_all(text, '、')) AS cm FROM documents"""
-_SCORE = "115.79 - 0.12 * ({sc} / {n}) - 1.37 * CASE WHEN {ar} > 0 THEN {ac} / {ar} ELSE 0 END - 4.67 * ({cm} / {n})"
+  len(regexp_extract_all(text, '[A-Za-z]')) AS ac, len(regexp_extract_all(text, '[A-Za-z]+')) AS ar, len(regexp_extract_all(text, '、')) AS cm, len(regexp_extract_all(text, '。')) AS pc,
+  len(regexp_extract_all(text, '\\p{Hiragana}')) AS hc, len(regexp_extract_all(text, '\\p{Hiragana}+')) AS hr, len(regexp_extract_all(text, '\\p{Han}')) AS kc, len(regexp_extract_all(text, '\\p{Han}+')) AS kr,
+  len(regexp_extract_all(text, '[\\p{Katakana}ー]')) AS tc, len(regexp_extract_all(text, '[\\p{Katakana}ー]+')) AS tr FROM documents"""
 
 
-@query(f"""SELECT doc_id, score, CASE WHEN score >= 60 THEN 'easy' WHEN score >= 40 THEN 'standard' WHEN score IS NOT NULL THEN 'difficult' END AS label
-FROM (SELECT doc_id, CASE WHEN len(s) > 0 THEN round({_SCORE.format(sc="list_sum(list_transform(s, lambda x: length(x)))", n="len(s)", ac="ac", ar="ar", cm="cm")}, 2) END AS score FROM ({_FEATURES}))""")
+def _score_sql(total: str, n: str, of=lambda c: c) -> str:
+    """Commas count by full stops; a mean of nothing is 0."""
+    mean = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END"
+    terms = [(-0.12, mean(total, n)), (-1.37, mean(of("ac"), of("ar"))), (7.4, mean(of("hc"), of("hr"))), (-23.18, mean(of("kc"), of("kr"))), (-5.4, mean(of("tc"), of("tr"))), (-4.67, mean(of("cm"), of("pc")))]
+    return "115.79" + "".join(f" + ({w}) * ({x})" for w, x in terms)
+
+
+_CHARS = "coalesce(list_sum(list_transform(s, lambda x: length(x))), 0)"
+
+
+@query(f"""SELECT doc_id, score, CASE WHEN score >= 60 THEN 'Easy' WHEN score >= 40 THEN 'Standard' ELSE 'Professional' END AS label
+FROM (SELECT doc_id, round({_score_sql(_CHARS, "len(s)")}, 2) AS score FROM ({_FEATURES}))""")
 def doc_readability(spark, sf_dir):
     df = _round(M.readability(table(spark, sf_dir, "documents")), 2, "score")
     return df.withColumn("label", X.readability_label(F.col("score"))).select("doc_id", "score", "label")
 
 
-@query(f"""SELECT lang, CAST(sum(len(s)) AS BIGINT) AS sentences, round({_SCORE.format(sc="sum(list_sum(list_transform(s, lambda x: length(x))))", n="sum(len(s))", ac="sum(ac)", ar="sum(ar)", cm="sum(cm)")}, 2) AS score
+@query(f"""SELECT lang, CAST(sum(len(s)) AS BIGINT) AS sentences, round({_score_sql(f"sum({_CHARS})", "sum(len(s))", lambda c: f"sum({c})")}, 2) AS score
 FROM ({_FEATURES}) GROUP BY lang""")
 def corpus_readability_by_lang(spark, sf_dir):
     return _round(M.corpus_readability(table(spark, sf_dir, "documents"), "lang"), 2, "score").select("lang", "sentences", "score")
@@ -220,21 +231,19 @@ def constrained_ranges(spark, sf_dir):
     return T.page_ranges(d, ["l_orderkey"], "l_linenumber", ["flag"], T.MIN_RANGE)
 
 
-_KINDS = ["vowel", "consonant", "digit", "other"]
-
+_POLITE = "ませんでした でしょう ましょう ですか ますか でした ました ません ます です".split()
+_PLAIN = "であった である だった だ".split()
+_ENDS = lambda words: " OR ".join(f"suffix(b, '{w}')" for w in words)
 
-def _last_kind(c: Column) -> Column:
-    last = F.lower(F.substring(c, -1, 1))
-    return F.when(last.rlike("^[aeiou]$"), "vowel").when(last.rlike("^[a-z]$"), "consonant").when(last.rlike("^[0-9]$"), "digit").otherwise("other")
 
-
-@query(f"""WITH s AS (SELECT lower(right(unnest({_SENT}), 1)) AS c FROM documents),
-k AS (SELECT CASE WHEN regexp_matches(c, '^[aeiou]$') THEN 'vowel' WHEN regexp_matches(c, '^[a-z]$') THEN 'consonant' WHEN regexp_matches(c, '^[0-9]$') THEN 'digit' ELSE 'other' END AS kind FROM s),
-e AS (SELECT * FROM (VALUES (0, 'vowel'), (1, 'consonant'), (2, 'digit'), (3, 'other')) v(ord, kind))
+@query(f"""WITH s AS (SELECT doc_id, unnest({_SENT}) AS x FROM documents),
+b AS (SELECT regexp_replace(regexp_replace(x, '[。．！？!?]+$', ''), '[ \t\r\n\f\x0B]+$', '') AS b FROM s),
+k AS (SELECT CASE WHEN b = '' THEN 'その他' WHEN {_ENDS(_POLITE)} THEN 'です・ます' WHEN {_ENDS(_PLAIN)} THEN 'だ・である' WHEN regexp_matches(b, '[\\p{{Han}}\\p{{Katakana}}A-Za-z0-9ー]$') THEN '体言止め' ELSE 'その他' END AS kind FROM b),
+e AS (SELECT * FROM (VALUES (0, 'です・ます'), (1, '体言止め'), (2, 'だ・である'), (3, 'その他')) v(ord, kind))
 SELECT ord, kind, CAST(count(k.kind) AS BIGINT) AS n, round(100.0 * count(k.kind) / (SELECT count(*) FROM k)) AS pct FROM e LEFT JOIN k USING (kind) GROUP BY ord, kind""")
 def ending_distribution(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select(F.explode(X.sentences(F.col("text"))).alias("sentence"))
-    return M.distribution(s, _last_kind(F.col("sentence")), _KINDS)
+    return M.distribution(s, X.ending_class(X.sentence_ending("sentence")), list(X.ENDING_CLASSES))
 
 
 # --- terms -----------------------------------------------------------------------
@@ -250,13 +259,16 @@ def term_tfidf(spark, sf_dir):
     return _round(T.tfidf(T.count_terms(docs, TERMS), docs.count()), 6, "score")
 
 
-@query("""WITH t AS (SELECT 'technical' AS trait, unnest(regexp_extract_all(text, '([A-Z][a-zA-Z]{2,})', 1)) AS term FROM documents UNION ALL SELECT 'heading', unnest(regexp_extract_all(text, '([A-Z]{3,})', 1)) FROM documents),
-d AS (SELECT DISTINCT term, trait FROM t)
-SELECT term, CAST(sum(CASE trait WHEN 'technical' THEN 15 ELSE 20 END) AS BIGINT) AS bonus FROM d GROUP BY term""")
+_TERM = "[^ \\t\\r\\n\\f\\x0B。、！？…「」『』（）()\\[\\]{}#*|`>~:：;；,，\\\\]{2,20}"
+_DEFINING = (f"({_TERM})とは[、,]?[^。]*(?:である|です|を意味|を指|という)", f"({_TERM})(?:について|に関して)(?:は|の)", f"({_TERM})(?:を|が)(?:定義|説明|解説)", f"「({_TERM})」(?:とは|は|について)", f"({_TERM})(?:の概念|の定義|の意味)")
+_FOUND = " UNION ALL ".join(f"SELECT '{trait}' AS trait, unnest(regexp_extract_all(text, '{p}', 1)) AS term FROM documents" for trait, ps in (("technical", ("([ァ-ヶー]{3,})", "([A-Z][a-zA-Z]{2,})", "([A-Z]{2,})")), ("definition", _DEFINING)) for p in ps)
+_VALID = "length(term) >= 2 AND NOT regexp_matches(term, '(?i)^(?:span|div|class|id|data-|href|src)$') AND NOT regexp_matches(term, '[。、！？#*|`>~\\[\\]()（）「」『』【】\\r\\n\\t]|:::|^[\\s\\-.:：]|[\\s\\-.:：]$')"
+
+
+@query(f"""SELECT term, CAST(sum(CASE trait WHEN 'technical' THEN 15 ELSE 30 END) AS BIGINT) AS bonus FROM (SELECT DISTINCT term, trait FROM ({_FOUND}) WHERE {_VALID}) GROUP BY term""")
 def term_traits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = T.extract(docs, (r"([A-Z][a-zA-Z]{2,})",), "technical").union(T.extract(docs, (r"([A-Z]{3,})",), "heading"))
-    return T.trait_bonus(found)
+    return T.trait_bonus(T.extract(docs, T.TECHNICAL, "technical").union(T.extract(docs, T.DEFINITIONS, "definition")))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT source, term FROM ({_COUNTED})), n AS (SELECT count(DISTINCT source) AS total FROM documents)
@@ -300,7 +312,7 @@ def main_reference(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT sum(n_chars) AS c, count(*) AS n FROM documents), g AS (SELECT *, pow(c / 50000.0, 0.749) AS g FROM t),
-p AS (SELECT * FROM (VALUES ('light', 65, 90), ('standard', 120, 175), ('rich', 225, 230)) p(preset, a, b))
+p AS (SELECT * FROM (VALUES ('light', 65, 90), ('standard', 120, 175), ('thorough', 225, 230)) p(preset, a, b))
 SELECT preset, round(a * g) AS low, round(b * g) AS high, CASE WHEN n < round(a * g) THEN 'below by ' || CAST(CAST(round(a * g) - n AS BIGINT) AS VARCHAR) WHEN n > round(b * g) THEN 'above by ' || CAST(CAST(n - round(b * g) AS BIGINT) AS VARCHAR) ELSE 'within' END AS gap FROM g, p""")
 def index_size_estimate(spark, sf_dir):
     t = table(spark, sf_dir, "documents").agg(F.sum("n_chars").alias("c"), F.count("*").alias("n"))
@@ -309,21 +321,20 @@ def index_size_estimate(spark, sf_dir):
 
 
 _POSTINGS = f"SELECT doc_id, unnest({_TOK}) AS term, generate_subscripts({_TOK}, 1) - 1 AS pos FROM documents"
-_RARE = ["Apache", "MIT", "GNU", "License", "token", "idiot", "clown"]
-_RARE_SQL = ", ".join(f"'{t}'" for t in _RARE)
+_TERMS_SQL = ", ".join(f"'{t}'" for t in TERMS)
 
 
 @query(f"""SELECT term, doc_id, CAST(pos AS INTEGER) AS pos, CAST(o AS BIGINT) AS occurrence, o = 1 AS is_definition, 'idx-' || left(sha1(term), 12) || '-' || o AS anchor
-FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, pos) AS o FROM ({_POSTINGS}) WHERE term IN ({_RARE_SQL}))""")
+FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id, pos) AS o FROM ({_POSTINGS}) WHERE term IN ({_TERMS_SQL}))""")
 def postings_first_occurrence(spark, sf_dir):
-    return T.number_occurrences(T.postings(table(spark, sf_dir, "documents"), _RARE))
+    return T.number_occurrences(T.postings(table(spark, sf_dir, "documents"), TERMS))
 
 
-@query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY term, doc_id ORDER BY pos) AS nth FROM ({_POSTINGS}) WHERE term IN ({_RARE_SQL})),
+@query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY term, doc_id ORDER BY pos) AS nth FROM ({_POSTINGS}) WHERE term IN ({_TERMS_SQL})),
 r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY CASE WHEN nth = 1 THEN 0 ELSE 1 END, doc_id, pos) AS k FROM p)
 SELECT term, doc_id, CAST(pos AS INTEGER) AS pos, CAST(nth AS INTEGER) AS nth FROM r WHERE k <= 8""")
 def coverage_top_k(spark, sf_dir):
-    return T.coverage_top(T.postings(table(spark, sf_dir, "documents"), _RARE))
+    return T.coverage_top(T.postings(table(spark, sf_dir, "documents"), TERMS))
 
 
 @query("""WITH h AS (SELECT doc_id, text, strpos(text, 'License') AS hit, length(text) AS n, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE contains(text, 'License'))
@@ -336,21 +347,17 @@ def term_contexts(spark, sf_dir):
 
 _WORDS_SQL = """SELECT doc_id, line, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content,
   'https?://\\S+', ' ', 'g'), '\\S+@\\S+\\.\\S+', ' ', 'g'), '`[^`]*`', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&\\w+;', ' ', 'g'), '\\S*[/\\\\]\\S+', ' ', 'g'), '\\{[^}]*\\}', ' ', 'g'), '\\b\\w*\\d\\w*\\b', ' ', 'g'), '([a-zA-Z]+(?:-[a-zA-Z]+)*)', 1)) AS word
-FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS line FROM (SELECT doc_id, string_split(CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents WHERE lang = 'en'))"""
+FROM (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) AS line FROM (SELECT doc_id, string_split(CASE WHEN suffix(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l FROM documents))"""
 _DICT_SQL = "SELECT DISTINCT lower(unnest(regexp_extract_all(text, '([a-zA-Z]+)', 1))) AS key FROM benchmark"
 
 
-def _english(spark, sf_dir) -> DataFrame:
-    return C.words_of(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id")
-
-
 def _dictionary(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-zA-Z]+)"), 1)).alias("w")).select(F.lower("w").alias("key")).distinct()
 
 
 @query(f"""SELECT lower(word) AS key, CAST(count(DISTINCT (doc_id, line)) AS BIGINT) AS n_lines FROM ({_WORDS_SQL}) WHERE length(word) >= 2 AND lower(word) NOT IN ({_DICT_SQL}) GROUP BY lower(word)""")
 def spell_unknown(spark, sf_dir):
-    return C.spelling_summary(C.unknown_words(_english(spark, sf_dir), _dictionary(spark, sf_dir)), "doc_id")
+    return C.spelling_summary(C.unknown_words(C.words_of(table(spark, sf_dir, "documents"), "doc_id"), _dictionary(spark, sf_dir)), "doc_id")
 
 
 @query("""WITH d AS (SELECT DISTINCT lower(p_type) AS key FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer UNION SELECT DISTINCT event_type FROM events),

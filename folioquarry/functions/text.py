@@ -17,7 +17,9 @@ CLAUSE_END = "、"
 PUNCT = r"[\p{IsPunctuation}$+<=>^`|~]"
 # The readability formula's weights and bands.
 READ_BASE, READ_WEIGHTS = 115.79, {"ls": -0.12, "la": -1.37, "lh": 7.4, "lc": -23.18, "lk": -5.4, "cp": -4.67}
-BANDS = ((60.0, "easy"), (40.0, "standard"))
+BANDS = ((60.0, "Easy"), (40.0, "Standard"), (None, "Professional"))
+#: A text without such a letter has none of the last three classes.
+JAPANESE = r"[\p{IsHiragana}\p{IsHan}\p{IsKatakana}ー]"
 # Character classes whose runs readability counts.
 CLASSES = {"alpha": "A-Za-z", "hiragana": r"\p{IsHiragana}", "kanji": r"\p{IsHan}", "katakana": r"\p{IsKatakana}ー"}
 
@@ -59,12 +61,17 @@ def tokens(c: Column | str) -> Column:
     return F.filter(F.split(F.regexp_replace(_col(c), PUNCT, " "), rf"{WS}+", -1), lambda t: t != "")
 
 
+def _class_count(c: Column, name: str, pattern: str) -> Column:
+    n = F.regexp_count(c, F.lit(pattern))
+    return n if name == "alpha" else F.when(c.rlike(JAPANESE), n).otherwise(0)
+
+
 def class_runs(c: Column | str, name: str) -> Column:
-    return F.regexp_count(_col(c), F.lit(f"[{CLASSES[name]}]+"))
+    return _class_count(_col(c), name, f"[{CLASSES[name]}]+")
 
 
 def class_chars(c: Column | str, name: str) -> Column:
-    return F.regexp_count(_col(c), F.lit(f"[{CLASSES[name]}]"))
+    return _class_count(_col(c), name, f"[{CLASSES[name]}]")
 
 
 def readability_features(c: Column | str) -> dict[str, Column]:
@@ -80,17 +87,17 @@ def readability_features(c: Column | str) -> dict[str, Column]:
 
 
 def readability_score(prefix: str = "") -> Column:
-    """The score from columns of feature sums; a text without sentences has none."""
+    """The score from columns of feature sums; commas count by full stops, and a mean of nothing is 0."""
     f = lambda n: F.col(prefix + n)
-    mean = {"ls": safe_average(f("sentence_chars"), f("sentences")), "cp": safe_average(f("commas"), f("sentences"))}
+    mean = {"ls": safe_average(f("sentence_chars"), f("sentences")), "cp": safe_average(f("commas"), f("periods"))}
     for key, name in (("la", "alpha"), ("lh", "hiragana"), ("lc", "kanji"), ("lk", "katakana")):
         mean[key] = safe_average(f(f"{name}_chars"), f(f"{name}_runs"))
-    return F.when(f("sentences") > 0, F.lit(READ_BASE) + reduce(Column.__add__, [F.lit(w) * mean[k] for k, w in READ_WEIGHTS.items()]))
+    return F.lit(READ_BASE) + reduce(Column.__add__, [F.lit(w) * mean[k] for k, w in READ_WEIGHTS.items()])
 
 
 def readability_label(score: Column) -> Column:
-    (high, first), (low, second) = BANDS
-    return F.when(score >= high, first).when(score >= low, second).when(score.isNotNull(), "difficult")
+    (high, first), (low, second), (_, rest) = BANDS
+    return F.when(score >= high, first).when(score >= low, second).when(score.isNotNull(), rest)
 
 
 def strip_inline_code(c: Column | str) -> Column:
@@ -105,7 +112,7 @@ def strip_markdown(c: Column | str) -> Column:
 
 def english_words(c: Column | str) -> Column:
     """Words a spelling check looks at: URLs, addresses, code, tags, paths, numbers and entities are left out."""
-    junk = [r"https?://\S+", r"\S+@\S+\.\S+", r"`[^`]*`", r"<[^>]*>", r"&\w+;", r"\S*[/\\]\S+", r"\{[^}]*\}", r"\b\w*\d\w*\b"]
+    junk = [r"https?://\S+", r"\S+@\S+\.\S+", r"`[^`]*`", r"<[^>]*>", r"&\w+;", r"\S*[/\\]\S+", r"\{[^}]*\}", r"(?<!\w)\w*\d\w*(?!\w)"]
     clean = reduce(lambda x, p: F.regexp_replace(x, p, " "), junk, _col(c))
     return F.filter(F.regexp_extract_all(clean, F.lit("([a-zA-Z]+(?:-[a-zA-Z]+)*)"), 1), lambda w: F.length(w) >= 2)
 
@@ -163,16 +170,29 @@ def volume_class(chars: Column | str, low: Column | float, high: Column | float)
     return F.when(chars < low, "too short").when(chars > high, "too long")
 
 
-def sentence_ending(c: Column | str, kinds: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """The class of a sentence by its last characters, in the order given."""
-    # Endings of the polite and plain styles; the last class is any noun.
-    kinds = kinds or {"です・ます": ("です", "ます", "ました", "でした", "ません", "ましょう", "でしょう"), "である": ("である", "であった", "であろう"), "だ": ("だ", "だった", "だろう"), "た": ("た",), "ない": ("ない",), "る": ("る",)}
-    c = F.regexp_replace(_col(c), r"[\s」』）)。！？!?]+$", "")
-    kind = F.when(F.lit(False), "")
-    for name, ends in kinds.items():
-        for e in ends:
-            kind = kind.when(c.endswith(e), name)
-    return kind.when(c.rlike(r"[\p{IsHan}\p{IsKatakana}ーA-Za-z0-9]$"), "体言止め").otherwise("その他")
+# Endings of the polite and the plain style, longest first, and the classes of a distribution in its order.
+POLITE = ("ませんでした", "でしょう", "ましょう", "ですか", "ますか", "でした", "ました", "ません", "ます", "です")
+PLAIN = ("であった", "である", "だった", "だ")
+NOUN_END, OTHER_END = "体言止め", "その他"
+ENDING_CLASSES = ("です・ます", NOUN_END, "だ・である", OTHER_END)
+
+
+def sentence_ending(c: Column | str) -> Column:
+    """How a sentence ends: one of the listed endings, a noun (its last character is no kana), or neither."""
+    body = F.regexp_replace(F.regexp_replace(_col(c), r"[。．！？!?]+$", ""), rf"{WS}+$", "")
+    kind = F.when(body == "", OTHER_END)
+    for e in (*POLITE, *PLAIN):
+        kind = kind.when(body.endswith(e), e)
+    return kind.when(body.rlike(r"[\p{IsHan}\p{IsKatakana}A-Za-z0-9ー]$"), NOUN_END).otherwise(OTHER_END)
+
+
+def ending_class(ending: Column) -> Column:
+    return F.when(ending.isin(*POLITE), ENDING_CLASSES[0]).when(ending.isin(*PLAIN), ENDING_CLASSES[2]).when(ending == NOUN_END, NOUN_END).otherwise(OTHER_END)
+
+
+def ending_label(ending: Column) -> Column:
+    """How a run of endings is shown: with a full stop, a noun without."""
+    return F.when(ending == NOUN_END, ending).otherwise(F.concat(ending, F.lit("。")))
 
 
 def dice(a: Column | str, b: Column | str) -> Column:

@@ -13,9 +13,17 @@ from folioquarry.functions import documents as D
 from folioquarry.functions import text as X
 from folioquarry.sources.records import lines
 
-REFERENCE = r"(?<![a-zA-Z0-9_.])@([\w-]+)"
-CAPTION = r"^\*\*(.+?)\s+@([\w-]+)\*\*\s*$"
-HEADING_LABEL = r"^#{1,6}\s+(.*?)\s+@([\w-]+)\s*$"
+# Fixed values of the notation: a label's id; a caption (bold, its title and id) and a heading with an id; a reference, and
+# one with a page; spans in which @ means something else; ids that are macros or ask for a number.
+_ID = r"@([\w-]+)"
+CAPTION = rf"^\*\*{X.WS}*(.+?){X.WS}+{_ID}{X.WS}*\*\*{X.WS}*$"
+HEADING_LABEL = rf"^#{{1,6}}{X.WS}+(.+?){X.WS}+{_ID}{X.WS}*$"
+REFERENCE = rf"(?<![a-zA-Z0-9_.]){_ID}"
+PAGE_REFERENCE = r"@pageref:([\w-]+)"
+MASKED = r"`+[^`]*`+|!?\[[^\]]*\](?:\([^)]*\))?|https?://[^\s)]+"
+RESERVED = ("auto", "omakase", "id", "vspace", "hspace", "pagebreak", "pageref", "version", "today", "title", "qr")
+#: From this length on, words meet on pieces.
+LONG_WORD = 12
 DANGEROUS = r"(?i)\b(javascript|data|vbscript|file):"
 URL = r"https?://[^\s)\x22'<>]+"
 
@@ -50,8 +58,9 @@ def suggestions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(key, suggestion, distance): the nearest dictionary word within the distance that the length allows.
 
     Exact by deletion neighbourhoods: two words within distance d share a string that is left after d deletions at most from
-    each, so candidates come from an equi-join on those strings instead of a comparison of all pairs. dictionary has
-    (key, ord); the first of the nearest wins.
+    each, so candidates come from an equi-join on those strings instead of a comparison of all pairs. Words of LONG_WORD
+    letters and more have too many such strings; they meet on whole pieces. dictionary has (key, ord); the first of the
+    nearest wins.
     """
     limit = lambda c: F.when(F.length(c) <= 4, 1).when(F.length(c) <= 8, 2).otherwise(3)
 
@@ -63,16 +72,32 @@ def suggestions(words: DataFrame, dictionary: DataFrame) -> DataFrame:
         return out
 
     left = words.select("key").distinct().withColumn("most", limit(F.col("key")))
+    entries = dictionary.select(F.col("key").alias("entry"), "ord")
     ws = None
-    for n, low, high in ((1, 0, 4), (2, 5, 8), (3, 9, 1 << 20)):
+    for n, low, high in ((1, 0, 4), (2, 5, 8), (3, 9, LONG_WORD - 1)):
         a = left.where(F.length("key").between(low, high)).withColumn("cut", F.explode(cuts(F.col("key"), n)))
-        b = dictionary.select(F.col("key").alias("entry"), "ord").where(F.length("entry").between(low - n, high + n)).withColumn("cut", F.explode(cuts(F.col("entry"), n)))
+        b = entries.where(F.length("entry").between(low - n, high + n)).withColumn("cut", F.explode(cuts(F.col("entry"), n)))
         part = a.join(b, "cut").select("key", "most", "entry", "ord").distinct()
         ws = part if ws is None else ws.union(part)
+    ws = ws.union(_long_pairs(left.where(F.length("key") >= LONG_WORD), entries.where(F.length("entry") >= LONG_WORD - 3)))
     ws = ws.withColumn("distance", F.levenshtein("key", "entry")).where("distance <= most")
     return ws.groupBy("key").agg(F.min(F.struct("distance", "ord", "entry")).alias("b")).select("key", F.col("b.entry").alias("suggestion"), F.col("b.distance").alias("distance"))
 
 
+def _long_pairs(words: DataFrame, entries: DataFrame, d: int = 3) -> DataFrame:
+    """(key, most, entry, ord) that share one of d + 1 even pieces of the entry at a place at most d off: d edits leave one whole.
+
+    A word has at most (2d + 1)^2 (d + 1) such strings, whatever its length.
+    """
+    at = lambda i, m: F.floor(i * m / (d + 1)).cast("int")
+    pieces = entries.withColumn("m", F.length("entry")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    pieces = pieces.withColumn("cut", F.substr("entry", at(F.col("i"), F.col("m")) + 1, at(F.col("i") + 1, F.col("m")) - at(F.col("i"), F.col("m"))))
+    w = words.withColumn("m", F.explode(F.sequence(F.length("key") - d, F.length("key") + d))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(d)))).withColumn("off", F.explode(F.sequence(F.lit(-d), F.lit(d))))
+    start, size = at(F.col("i"), F.col("m")) + F.col("off"), at(F.col("i") + 1, F.col("m")) - at(F.col("i"), F.col("m"))
+    w = w.where((start >= 0) & (start + size <= F.length("key"))).select("key", "most", "m", "i", F.substr("key", start + 1, size).alias("cut")).distinct()
+    return w.join(pieces, ["m", "i", "cut"]).select("key", "most", "entry", "ord").distinct()
+
+
 def findings_summary(found: DataFrame) -> DataFrame:
     """(rule, label, n, lines): by count, with the first ten lines."""
     rows = found.groupBy("rule", "label").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("line")).alias("ls"))
@@ -110,10 +135,12 @@ def labels(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def references(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line, id) of references outside code, labels of their own left out."""
+    """(key, line, id) of references, with or without a page, outside code, links, brackets and URLs; labels of their own and macros left out."""
     each = lines(docs.withColumn(text, D.strip_code_col(F.col(text))), text, key)
     each = each.where(~F.col("content").rlike(CAPTION) & ~F.col("content").rlike(HEADING_LABEL))
-    return each.select(key, "line", F.explode(F.regexp_extract_all("content", F.lit(REFERENCE), 1)).alias("id"))
+    bare = F.regexp_replace("content", MASKED, " ")
+    paged, plain = F.regexp_extract_all(bare, F.lit(PAGE_REFERENCE), 1), F.regexp_extract_all(F.regexp_replace(bare, PAGE_REFERENCE, " "), F.lit(REFERENCE), 1)
+    return each.select(key, "line", F.explode(F.concat(paged, plain)).alias("id")).where(~F.col("id").isin(*RESERVED))
 
 
 def resolve(refs: DataFrame, targets: DataFrame, on: str = "id") -> dict[str, DataFrame]:

@@ -12,7 +12,8 @@ from folioquarry.functions import text as X
 # Chapter volume presets (too short below, ideal from-to, too long above) and the totals they serve.
 PRESETS = {"compact": (800, 1100, 3400, 4200), "handy": (2900, 3400, 5700, 6800), "standard": (4200, 4800, 8500, 9700), "commercial": (6400, 7800, 14600, 17800), "heavy": (9200, 11000, 16000, 19600)}
 PRESET_TOTALS = ((35_000, "compact"), (65_000, "handy"), (90_000, "standard"), (150_000, "commercial"))
-RELATIVE = (0.65, 0.80, 1.20, 1.50)
+RELATIVE, RELATIVE_LEAST = (0.65, 0.80, 1.20, 1.50), 5
+SECTION = (400, 1000, 2800, 4000)
 OUTLIERS, LONG_SENTENCE, LONGEST, TOP_WORDS, MIN_RUN = 3, 80, 5, 15, 5
 MATTR_WINDOW, MONOTONOUS, COMPLEX_SENTENCES, MONOTONOUS_TOKENS = 100, 0.5, 10, 100
 
@@ -94,9 +95,17 @@ def top(df: DataFrame, n: int, score: str, name: str) -> DataFrame:
 
 
 def relative_thresholds(df: DataFrame, measure: str) -> DataFrame:
-    """One row: the median and the four thresholds derived from it, rounded."""
-    m = F.median(measure)
-    return df.agg(m.alias("median"), *[F.round(m * r).alias(k) for k, r in zip(("low", "ideal_low", "ideal_high", "high"), RELATIVE, strict=True)])
+    """One row: the median and four thresholds: multiples of it, rounded; below RELATIVE_LEAST rows those of the total's preset."""
+    m, names = F.median(measure), ("low", "ideal_low", "ideal_high", "high")
+    total, few = F.sum(measure), F.count(measure) < RELATIVE_LEAST
+
+    def preset(k: int) -> Column:
+        out = None
+        for most, name in PRESET_TOTALS:
+            out = (F if out is None else out).when(total < most, float(PRESETS[name][k]))
+        return out.otherwise(float(PRESETS["heavy"][k]))
+
+    return df.agg(m.alias("median"), *[F.when(few, preset(k)).otherwise(F.round(m * RELATIVE[k])).alias(n) for k, n in enumerate(names)])
 
 
 def preset_for(total: int) -> str:
@@ -112,7 +121,7 @@ def volume_classes(df: DataFrame, measure: str) -> DataFrame:
 def outliers(df: DataFrame, by: list[str], measure: str, name: str, most: int = OUTLIERS) -> DataFrame:
     """(by..., side, rank, name, measure): up to `most` rows a side that lie one population standard deviation off the mean."""
     stats = df.groupBy(*by).agg(F.avg(measure).alias("_m"), F.stddev_pop(measure).alias("_s"))
-    j = df.join(F.broadcast(stats) if not by else stats, by) if by else df.crossJoin(stats)
+    j = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row
     j = j.where(F.col("_s") > 0).withColumn("side", F.when(F.col(measure) >= F.col("_m") + F.col("_s"), "high").when(F.col(measure) <= F.col("_m") - F.col("_s"), "low"))
     j = j.where(F.col("side").isNotNull())
     far = F.when(F.col("side") == "high", -F.col(measure)).otherwise(F.col(measure))
@@ -158,7 +167,7 @@ def long_sentences(docs: DataFrame, key: str, text: str = "text", least: int = L
 
 def quality(df: DataFrame) -> DataFrame:
     """df (of vocabulary, with_mattr and readability) with monotonous and too_complex."""
-    return df.withColumns({"monotonous": (F.col("n_tokens") >= MONOTONOUS_TOKENS) & (F.col("mattr") <= MONOTONOUS), "too_complex": (F.col("sentences") >= COMPLEX_SENTENCES) & (F.col("label") == "difficult")})
+    return df.withColumns({"monotonous": (F.col("n_tokens") >= MONOTONOUS_TOKENS) & (F.col("mattr") <= MONOTONOUS), "too_complex": (F.col("sentences") >= COMPLEX_SENTENCES) & (F.col("label") == X.BANDS[-1][1])})
 
 
 def report(df: DataFrame, totals: DataFrame, advice: DataFrame) -> DataFrame:

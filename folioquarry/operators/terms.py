@@ -13,17 +13,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioquarry.functions import text as X
+from folioquarry.operators.numbering import numbered
 
 MAX_TERMS = 500
 # Trait weights, TF-IDF scale, spread limits, heading weights, index size law and presets, band width.
-TRAITS = {"definition": 30, "technical": 15, "compound": 10, "heading": 20}
+TRAITS = {"definition": 30, "technical": 15, "noun_sequence": 10, "heading": 20}
 SCALE = 30.0
 SPREAD_DOCS, SPREAD_COUNT, SPREAD_RATIO = 6, 3, 0.5
 HEADINGS = {1: 3, 2: 2, 3: 1}
-BETA, BASE_CHARS, SIZES = 0.749, 50_000.0, {"light": (65, 90), "standard": (120, 175), "rich": (225, 230)}
+BETA, BASE_CHARS, SIZES = 0.749, 50_000.0, {"light": (65, 90), "standard": (120, 175), "thorough": (225, 230)}
 POOL, PAGE_LIMIT, MIN_RANGE = 3.0, 8, 3
-DEFINITIONS = (r"「([^」]{2,40})」とは", r"\*\*([^*]{2,40})\*\*\s*(?:とは|は、)", r"([A-Za-z][\w -]{2,40})\s+(?:is defined as|refers to)", r"([\p{IsKatakana}ー]{3,})とは", r"([A-Z][A-Za-z]+)（[^）]+）")
-TECHNICAL = (r"([\p{IsKatakana}ー]{3,})", r"\b([A-Z][a-zA-Z]{2,})\b", r"\b([A-Z]{2,})\b")
+# Characters of a term in a definition; phrases that define a term (its group); technical words.
+TERM_CHAR = r"[^\s。、！？…「」『』（）()\[\]{}#*|`>~:：;；,，\\]"
+DEFINITIONS = (
+    f"({TERM_CHAR}{{2,20}})とは[、,]?[^。]*(?:である|です|を意味|を指|という)",
+    f"({TERM_CHAR}{{2,20}})(?:について|に関して)(?:は|の)",
+    f"({TERM_CHAR}{{2,20}})(?:を|が)(?:定義|説明|解説)",
+    f"「({TERM_CHAR}{{2,20}})」(?:とは|は|について)",
+    f"({TERM_CHAR}{{2,20}})(?:の概念|の定義|の意味)",
+)
+TECHNICAL = (r"([ァ-ヶー]{3,})", r"([A-Z][a-zA-Z]{2,})", r"([A-Z]{2,})")
+# What cannot be in a term: marks of the notation, punctuation, a blank or a mark at either end.
+JUNK = r"[。、！？\r\n\t#*|`>~\[\]()（）「」『』【】]|:{3}|^[\s\-.:：]|[\s\-.:：]$"
+#: Names of tags and attributes, sizes, percentages and mere signs.
+NOT_TERMS = (r"[<>]", r"(?i)^(?:span|div|class|id|data-|href|src)$", r"^:::", r"^\{", r"\}$", r"^(?:width|height|align)=", r"^\d+%$", r"^[=\x22\-./:;,]+$", r"^(?:yomi|index-term|idx-)")
+#: Terms of one or two ASCII signs are units and symbols; manual markup without a reading does not register them.
+SHORT_ASCII = r"^[\x21-\x7E]{1,2}$"
+# Remains of emphasis, colour codes and numbers.
+GARBAGE = (r"^\*\*", r"\*\*$", r"^['\x22]?#[0-9a-fA-F]{3,8}['\x22]?$", r"^['\x22]?#[0-9a-fA-F]{3,8}['\x22]?,\s*['\x22]?#", r"^\d+$")
 
 
 def term_pattern(term: str) -> str:
@@ -52,9 +69,9 @@ def tfidf(counts: DataFrame, n_docs: Column | int) -> DataFrame:
 
 
 def extract(docs: DataFrame, patterns: tuple[str, ...], trait: str, text: str = "text") -> DataFrame:
-    """(term, trait, n) that any of the patterns (one group each) finds."""
+    """(term, trait, n) of valid terms that any of the patterns (one group each) finds."""
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in patterns]))
-    each = docs.select(F.explode(found).alias("term")).where(F.length("term") >= 3)
+    each = docs.select(F.explode(found).alias("term")).where(valid_term("term"))
     return each.groupBy("term").agg(F.count("*").alias("n")).withColumn("trait", F.lit(trait))
 
 
@@ -66,8 +83,18 @@ def trait_bonus(traits: DataFrame) -> DataFrame:
 
 def valid_term(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    junk = r"^[\d\s.,%#-]+$|^#?[0-9a-fA-F]{6}$|[<>{}=;]|^\.|\*\*|^(?:id|class|href|src|px|em|rem)$"
-    return (F.length(c) >= 2) & ~c.rlike(junk)
+    ok = (F.length(c) >= 2) & ~c.rlike(JUNK)
+    for p in NOT_TERMS:
+        ok = ok & ~c.rlike(p)
+    return F.coalesce(ok, F.lit(False))
+
+
+def garbage_term(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    bad = c == ""
+    for p in GARBAGE:
+        bad = bad | c.rlike(p)
+    return F.coalesce(bad, F.lit(True))
 
 
 def spread(postings: DataFrame, total: int, group: str) -> DataFrame:
@@ -95,11 +122,14 @@ def ranking_bands(registered: DataFrame, candidates: DataFrame, target: int, poo
 
 
 def main_reference(hits: DataFrame, group: str = "doc_id") -> DataFrame:
-    """(term, group, score): of (term, group, h1, h2, h3, body) the best group, ties to the smaller; two hits at least in all."""
+    """(term, group, score): of (term, group, h1, h2, h3, body) the best group, ties to the smaller; two hits at least in all.
+
+    One partial aggregation: the best row of a term is a minimum, so no task holds a term's pages.
+    """
     score = sum((F.col(f"h{k}") * w for k, w in HEADINGS.items()), F.col("body"))
-    total = F.sum(F.col("h1") + F.col("h2") + F.col("h3") + F.col("body")).over(W.partitionBy("term"))
-    nth = F.row_number().over(W.partitionBy("term").orderBy(F.desc("score"), group))
-    return hits.withColumns({"score": score, "_n": total}).withColumn("_k", nth).where("_k = 1 AND _n >= 2").select("term", group, "score")
+    d = hits.withColumn("score", score)
+    best = d.groupBy("term").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(group))).alias("b"), F.sum(F.col("h1") + F.col("h2") + F.col("h3") + F.col("body")).alias("_n"))
+    return best.where("_n >= 2").select("term", F.col(f"b.{group}").alias(group), (-F.col("b.s")).alias("score"))
 
 
 def index_size(total_chars: Column) -> dict[str, tuple[Column, Column]]:
@@ -112,11 +142,10 @@ def gap(n: Column, low: Column, high: Column) -> Column:
 
 
 def score_quantiles(df: DataFrame, score: str, ratios: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75)) -> DataFrame:
-    """Nearest-rank quantiles without a collected list: places are picked from a range-partitioned sort by their number."""
+    """Nearest-rank quantiles without a collected list: places are picked by running counts of the distinct scores."""
     total = df.agg(F.count("*").alias("_n"))
     counts = df.groupBy(score).agg(F.count("*").alias("_c"))
-    up_to = counts.withColumn("_hi", F.sum("_c").over(W.orderBy(score)))  # distinct scores only
-    at = up_to.crossJoin(F.broadcast(total))  # one row
+    at = numbered(counts, score, weight="_c").crossJoin(F.broadcast(total))  # one row
     places = F.array(*[F.struct(F.lit(r).alias("ratio"), F.least(F.floor(F.col("_n") * r), F.col("_n") - 1).alias("place")) for r in ratios], F.struct(F.lit(1.0).alias("ratio"), (F.col("_n") - 1).alias("place")))
     at = at.select(F.col(score).alias("value"), "_c", "_hi", F.explode(places).alias("p")).where("p.place < _hi AND p.place >= _hi - _c")
     return at.select("p.ratio", "value")
@@ -131,11 +160,13 @@ def postings(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str =
 def number_occurrences(p: DataFrame, key: str = "doc_id") -> DataFrame:
     """Postings with occurrence (1-based over the corpus), is_definition (the first) and anchor.
 
-    Numbers come from counts per (term, document) and a running sum of those, so a frequent term is not one task's work.
+    Counts per (term, document) get running sums over all terms and documents (numbered()); a term's own start is taken off.
+    So a frequent term is spread over ranges of documents.
     """
     within = F.row_number().over(W.partitionBy("term", key).orderBy("pos"))
-    per = p.groupBy("term", key).agg(F.count("*").alias("_c"))
-    before = per.withColumn("_b", F.sum("_c").over(W.partitionBy("term").orderBy(key)) - F.col("_c")).drop("_c")
+    per = numbered(p.groupBy("term", key).agg(F.count("*").alias("_c")), "term", key, weight="_c").withColumn("_b", F.col("_hi") - F.col("_c"))
+    first = per.groupBy("term").agg(F.min("_b").alias("_f"))
+    before = per.join(first, "term").select("term", key, (F.col("_b") - F.col("_f")).alias("_b"))
     out = p.withColumn("_w", within).join(before, ["term", key]).withColumn("occurrence", F.col("_b") + F.col("_w")).drop("_b", "_w")
     return out.withColumns({"is_definition": F.col("occurrence") == 1, "anchor": X.anchor_id("term", F.col("occurrence"))})
 

@@ -11,9 +11,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioquarry.operators.numbering import numbered
 from folioquarry.plans.querystream import Engine, QueryError, parse
 
 _IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)")
@@ -65,10 +65,9 @@ def compile_lines(template: str, first: Column) -> Column:
 
 
 def render_rows(df: DataFrame, template: str, *order: str) -> DataFrame:
-    """df with n (1-based in the given order) and rendered; a numbering of all rows, so for results of bounded size."""
+    """df with n (1-based in the given order) and rendered; rows are numbered in ranges, not in one task."""
     check_keys(template, df)
-    n = F.row_number().over(W.orderBy(*order))
-    return df.withColumn("n", n).withColumn("rendered", compile_lines(template, F.col("n") == 1))
+    return numbered(df, *order, name="n").withColumn("rendered", compile_lines(template, F.col("n") == 1))
 
 
 def render(df: DataFrame, template: str, *order: str) -> str:

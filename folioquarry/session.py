@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: What a Python worker gets at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _HERE = Path(__file__).resolve().parent
 
 

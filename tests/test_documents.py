@@ -80,12 +80,42 @@ def test_volumes_add_up(spark):
 
 def test_readability(spark):
     r = M.readability(docs(spark, "漢字。", "")).orderBy("doc_id").collect()
-    assert r[0]["score"] == pytest.approx(69.19, abs=1e-3) and r[0]["label"] == "easy" and r[1]["score"] is None
+    assert r[0]["score"] == pytest.approx(69.19, abs=1e-3) and r[0]["label"] == "Easy" and r[1]["score"] == 115.79
     two = docs(spark, "漢字。", "ひらがなだけの文です。")
     scores = [x["score"] for x in M.readability(two).collect()]
     assert M.corpus_readability(two).first()["score"] != pytest.approx(sum(scores) / 2)
 
 
+def test_commas_count_by_full_stops(spark):
+    # 2 sentences of 4 and 6 characters, 1 full stop, 2 commas; runs: hiragana あ い う え お, none else
+    r = M.readability(docs(spark, "あ、い、う！え、お。")).first()
+    assert (r["commas"], r["periods"], r["sentences"]) == (3, 1, 2)
+    assert r["score"] == pytest.approx(115.79 - 0.12 * (5 + 3) / 2 + 7.4 * 1 - 4.67 * 3 / 1, abs=1e-9) and r["label"] == "Easy"
+
+
+def test_few_documents_take_the_preset_of_their_total(spark):
+    few = spark.createDataFrame([(k, 20_000) for k in range(4)], "doc_id int, chars int")
+    t = M.relative_thresholds(few, "chars").first()
+    assert (t["low"], t["ideal_low"], t["ideal_high"], t["high"]) == (4200, 4800, 8500, 9700)
+    many = spark.createDataFrame([(k, 1000) for k in range(5)], "doc_id int, chars int")
+    assert tuple(M.relative_thresholds(many, "chars").first())[1:] == (650, 800, 1200, 1500)
+
+
+def test_numbering_by_ranges(spark):
+    from folioquarry.operators.numbering import numbered
+
+    rows = [(k % 7, None if k % 50 == 0 else k * 31 % 101, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "a int, b int, w int")
+    got = sorted((r["n"], r["a"]) for r in numbered(df, "a", "b", "w", name="n").collect())
+    assert [n for n, _ in got] == list(range(1, 301)) and [a for _, a in got] == sorted(a for a, _, _ in rows)
+    sums = numbered(df, "a", "b", "w", weight="w").orderBy("a", "b", "w").collect()
+    total = 0
+    for r in sums:
+        total += r["w"]
+        assert r["_hi"] == total
+    assert numbered(df.limit(0), "a", name="n").count() == 0
+
+
 def test_sections_and_runs(spark):
     r = M.sections(docs(spark, "intro\n## One\nab c\n\n## Two\nd"), "doc_id").orderBy("section").collect()
     assert [(x["heading"], x["chars"]) for x in r] == [("One", 3), ("Two", 1)]
@@ -94,7 +124,7 @@ def test_sections_and_runs(spark):
     assert M.preset_for(34_999) == "compact" and M.preset_for(200_000) == "heavy"
 
 
-@pytest.mark.parametrize(("text", "kind"), [("これは本です", "です・ます"), ("そうである。", "である"), ("名詞の終わり。体言", "体言止め"), ("そうだ！", "だ"), ("ね", "その他")])
+@pytest.mark.parametrize(("text", "kind"), [("これは本です", "です"), ("そうでしたか？", "その他"), ("読みませんでした。", "ませんでした"), ("そうである。", "である"), ("名詞の終わり。体言", "体言止め"), ("そうだ！", "だ"), ("ね", "その他")])
 def test_endings(spark, text, kind):
     assert one(spark, X.sentence_ending, text) == kind
 
@@ -108,7 +138,7 @@ def test_scalars(spark):
 
 
 def test_labels_and_references(spark):
-    d = docs(spark, "## Intro @intro\n**Table one @t1**\nsee @t1 and @gone, not a@b.c or `@code`", "**Again @t1**")
+    d = docs(spark, "## Intro @intro\n** Table one @t1 **\nsee @t1 and @pageref:gone, not a@b.c, `@code`, [@x](https://y/@z), https://u/@v or @today", "**Again @t1**")
     got = C.resolve(C.references(d, "doc_id"), C.labels(d, "doc_id"))
     ids = {k: sorted(r["id"] for r in v.collect()) for k, v in got.items()}
     assert ids == {"resolved": ["t1"], "undefined": ["gone"], "orphans": ["intro"], "duplicates": ["t1"]}
@@ -142,6 +172,30 @@ def test_suggestions_agree_with_all_pairs(spark):
     assert {r["key"]: r["suggestion"] for r in got.collect()} == want
 
 
+def test_suggestions_for_long_words(spark):
+    import random
+
+    from test_support import distance
+
+    rng = random.Random(6)
+    entries = sorted({"".join(rng.choices("abcd", k=rng.randint(8, 40))) for _ in range(40)})
+    asked = ["x" * 100]
+    for e in entries:
+        chars = list(e)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(chars))
+            chars[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "z"])
+        asked.append("".join(chars))
+    asked = sorted({w for w in asked if len(w) >= 12})
+    want = {}
+    for w in asked:
+        near = [(distance(w, e), k, e) for k, e in enumerate(entries) if distance(w, e) <= 3]
+        if near:
+            want[w] = min(near)[2]
+    got = C.suggestions(spark.createDataFrame([(w,) for w in asked], "key string"), spark.createDataFrame([(e, k) for k, e in enumerate(entries)], "key string, ord int"))
+    assert {r["key"]: r["suggestion"] for r in got.collect()} == want and len(want) > 15
+
+
 def test_structure_checks(spark):
     d = docs(spark, "```\nx", "[a](javascript:x) http://a.b/c http://d.e http://a.b/c")
     assert C.fence_issues(d, "doc_id").count() == 1 and C.scheme_issues(d, "doc_id").count() == 1

@@ -2,7 +2,7 @@
 
 import pytest
 
-from folioquarry import catalog
+from folioquarry import catalog, catalog_more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
