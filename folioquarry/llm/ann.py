@@ -113,7 +113,8 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
 
     score is the Euclidean distance of the original vectors; ties go to the smaller vec_id. Vectors that are null or zero,
     hold null or non-finite components, have another length than the commonest or no id take no part. Rows that share the
-    query's id are not its neighbours; repeated query rows count once. An empty table gives an empty result; other columns
+    query's id are not its neighbours; of repeated query rows the smallest vector asks (component by component). Lists are
+    visited until they hold k rows besides the query's own, so fewer than k come back only where there are no more. An empty table gives an empty result; other columns
     are not read.
     """
     spark = vectors.sparkSession
@@ -130,14 +131,20 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     probes = _probes(x @ rotation, centres, k)
     held = spark.sparkContext.broadcast((rotation, centres))
 
-    def route(many: int):
+    def route(probes: int, rows: np.ndarray | None = None, least: int = 0):
+        """The nearest lists of each row: `probes`, and as many more as it takes to hold `least` rows."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turn, centres = held.value
             for b in batches:
                 if b.num_rows:
-                    near = _nearest(_matrix(b.column(1)) @ turn, centres, many)
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, many, np.int32)), pa.array(near.ravel()))
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), flat], names=["vec_id", "embedding", "lists"])
+                    near = _nearest(_matrix(b.column(1)) @ turn, centres, probes if rows is None else len(centres))
+                    many = np.full(len(near), probes)
+                    if rows is not None:
+                        many = np.clip((np.cumsum(rows[near], 1) < least).sum(1) + 1, probes, len(centres))
+                    flat = near[np.arange(near.shape[1]) < many[:, None]]
+                    ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["vec_id", "embedding", "lists"])
 
         return run
 
@@ -146,7 +153,10 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     sizes = {r["list"]: r["count"] for r in base.groupBy("list").count().collect()}
     blocks = F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // BLOCK))) for i in range(lists)])
     base = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(blocks, F.col("list"))).cast("int"))
-    asked = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).mapInArrow(route(probes), shape)
+    asked = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.count("*").alias("copies"))
+    copies = asked.agg(F.max("copies")).first()[0] or 0
+    rows = np.array([sizes.get(i, 0) for i in range(lists)])
+    asked = asked.drop("copies").mapInArrow(route(probes, rows, k + copies), shape)
     asked = asked.select("vec_id", "embedding", F.explode("lists").alias("list"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("list")) - 1)))
 

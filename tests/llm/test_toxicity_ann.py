@@ -126,3 +126,50 @@ def test_samples_pass_over_a_text_that_does_not_fit(spark):
     first = ids.orderBy(F.xxhash64(F.lit(0), "doc_id"), "doc_id").first()[0]
     docs = spark.createDataFrame([(i, "y" * 5000 if i == first else t) for i, t in rows], "doc_id long, text string")
     assert toxicity._samples(docs, [(ids, 20, 4000)]) == [["x" * 50] * 19]
+
+
+def test_small_lists_are_topped_up(spark):
+    """A query far from all others in a list of its own, and repeated rows of a query: k neighbours all the same."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 600)]
+    rows += [(0, [1000.0] * 8), (0, [1000.0] * 7 + [1001.0]), (600, [-500.0] * 8)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=10, every=300).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    assert {q: len(w) for q, w in got.items()} == {0: 10, 300: 10, 600: 10}
+    near = sorted((float(np.sqrt(((np.array(v) - 1000.0) ** 2).sum())), i) for i, v in rows if i != 0)[:10]
+    assert [i for _, i in sorted(got[0])][:1] == [near[0][1]] and all(i != 0 for _, i in got[0])
+
+
+def plain_grams(raw: bytes) -> dict[bytes, int]:
+    """The n-grams of a folded text and their hashes, one by one in plain integers."""
+    m32 = 2**32 - 1
+
+    def half(b: bytes) -> int:
+        if len(b) == 1:
+            return b[0]
+        n = len(b)
+        x = (half(b[: n // 2]) * (0x01000193 + 2 * n) + half(b[n // 2 :])) & m32
+        return x ^ (x >> 15)
+
+    out = {}
+    for n in toxicity.LENGTHS:
+        for k in range(len(raw) - n + 1):
+            g = raw[k : k + n]
+            x = ((half(g[:4]) * 0x9E3779B1 + half(g[4:n]) * 0x85EBCA77) * 0xC2B2AE3D) & m32
+            x ^= x >> 16
+            out[g] = x * (2 * n + 0x27D4EB2F) & m32
+    return out
+
+
+def test_scores_agree_with_plain_sets_of_ngrams(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    texts = [r["text"] for r in docs.collect() if len(r["text"] or "") < 3000][:60] + [None, "", "?!"]
+    got = model.scores(texts)
+    for text, score in zip(texts, got, strict=True):
+        raw = toxicity.folded([text], 9)[0].tobytes()
+        total = model.bias + sum(weight.get(h, 0.0) for h in set(plain_grams(raw).values()))
+        assert abs(score - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-9
+    assert len(weight) > 3 or model.bias < 0
