@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioquarry.llm import decontam, linededup, neardup, pieces, toxicity
-from folioquarry.llm.common import written
+from folioquarry.llm.common import discard, mark, tidy, written
 from folioquarry.session import table
 
 
@@ -48,7 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over documents; what a stage leaves in the shared folder goes when the next has read it."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        first = mark()
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        tidy(spark, first, docs)
+        if held is not None:
+            discard(held)
+        held = docs
     return docs

@@ -61,6 +61,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def mark() -> int:
+    """Where written() stands; tidy() deletes what came after."""
+    return len(_written)
+
+
+def tidy(spark: SparkSession, first: int, keep: DataFrame) -> None:
+    """Deletes the tables written since a mark(), but for `keep`; only the one who called written() since then may do so."""
+    for path in _written[first:]:
+        if path != keep._written_to:
+            _delete(spark, path)
+    _written[first:] = [keep._written_to]
+    release(spark)
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes the tables that written() and fresh_path() made in this process; their DataFrames end with them."""
     for path in _written:

@@ -224,3 +224,36 @@ def test_whole_keys_and_long_values(spark):
     clean = {(r["doc_id"], r["text"]) for r in secret_scan.redact(docs, VOCABULARY).collect()}
     assert (1, "before [secret] after") in clean and (2, 'api_key = "[secret]" end') in clean and (None, None) in clean
     assert secret_scan.find_secrets(docs.limit(0), VOCABULARY).count() == 0 and secret_scan.redact(docs, VOCABULARY).columns == docs.columns
+
+
+def test_stages_with_odd_rows(spark, sf):
+    """Nulls in any column, empty and repeated rows, columns that clash with inner names, a long text; then no rows at all."""
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = base.orderBy("doc_id").limit(30).collect()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, key long, n int, line int, score double, _id long, root long, ids string"
+    extra = ("r", 1, 2, 3, 4, 0.5, 6, 7, "i")
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], *extra) for r in clean]
+    rows += [rows[0], rows[1], (None, "a text of its own without an id", None, None, None, *[None] * 9), (900001, None, None, None, None, *extra), (900002, "", "en", "s", 0, *extra), (900003, "long words go on and on " * 9000, "en", "s", 1, *extra), (None, None, None, None, None, *[None] * 9)]
+    docs = spark.createDataFrame(rows, schema)
+    for d in (docs, docs.limit(0)):
+        now = d
+        for name, stage in corpus_pipeline.STAGES:
+            after = corpus_pipeline.written(stage(spark, now, sf), f"odd-{name.replace(' ', '-')}")
+            if name != "sentencepiece":
+                assert after.columns == d.columns, name
+            now = after
+        assert now.columns == ["doc_id", "ids", "n_ids"]
+        got = {r["doc_id"]: r["n_ids"] for r in now.collect()}
+        assert (None in got and 900003 in got) == (d is docs)
+
+
+def test_run_leaves_its_last_table_only(spark, sf):
+    import os
+
+    from folioquarry.llm import common
+
+    root = common.shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = corpus_pipeline.run(spark, sf)
+    left = set(os.listdir(root)) - before
+    assert len(left) == 1 and left.pop().startswith("pipeline-sentencepiece") and out.count() > 0
