@@ -12,6 +12,7 @@ from folioquarry.catalog import _TOK, query
 from folioquarry.functions import text as X
 from folioquarry.operators import checks as C
 from folioquarry.operators import dictionaries as S
+from folioquarry.operators import guards as G
 from folioquarry.operators import indexing as I
 from folioquarry.operators import layout as L
 from folioquarry.operators import metrics as M
@@ -428,3 +429,86 @@ def kept_findings(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), F.col("user_id").cast("string").alias("message"))
     kept = L.kept_findings(e, ["click"], ["7$"])
     return kept.groupBy(F.col("rule").alias("event_type"), F.col("message").cast("long").alias("user_id")).agg(F.count("*").alias("n"))
+
+
+# --- guards and imports ---------------------------------------------------------------------
+
+
+def _sheets(spark, sf_dir):
+    name = F.regexp_replace("p_name", " ", "-")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("/* .no */ p."), name, F.lit(" { content: '.nor' } ."), F.lower(F.regexp_replace("p_type", " ", "_")), F.lit("::after {}")).alias("css"))
+
+
+@query("SELECT replace(p_name, ' ', '-') AS class FROM part UNION SELECT lower(replace(p_type, ' ', '_')) FROM part")
+def css_classes(spark, sf_dir):
+    return G.css_classes(_sheets(spark, sf_dir))
+
+
+@query("""SELECT p_partkey, 2 AS line, lower(replace(p_type, ' ', '_')) || 'x' AS class, lower(replace(p_type, ' ', '_')) AS suggestion FROM part""")
+def unknown_container_classes(spark, sf_dir):
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("`:::{.code}`\n:::{."), F.regexp_replace("p_name", " ", "-"), F.lit(" ."), F.lower(F.regexp_replace("p_type", " ", "_")), F.lit("x}\ntext\n:::")).alias("text"))
+    return G.unknown_classes(G.container_classes(docs, "p_partkey"), G.css_classes(_sheets(spark, sf_dir)), "p_partkey")
+
+
+@query("SELECT 'f' || o_orderkey AS file, CAST(l_linenumber AS INTEGER) AS line, l_returnflag AS rule, l_linestatus AS message FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def lint_messages(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("ruleId"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_linestatus").alias("message"))).alias("messages"))
+    each = table(spark, sf_dir, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey"))
+    bad = spark.createDataFrame([("no json",)], "report string")
+    return G.lint_messages(each.select(F.to_json(F.array(F.struct(F.concat(F.lit("f"), "o_orderkey").alias("filePath"), "messages"))).alias("report")).union(bad))
+
+
+@query("SELECT o_custkey AS basename, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) THEN 'ok' ELSE 'missing' END AS state FROM (SELECT DISTINCT o_custkey FROM orders)")
+def catalog_entry_states(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("basename")).distinct()
+    return G.entry_states(own, table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("basename")))
+
+
+@query("""SELECT CASE kind WHEN 'preface' THEN 0 WHEN 'chapter' THEN 1 WHEN 'appendix' THEN 2 ELSE 3 END AS ord, kind, string_agg(s_name, ',' ORDER BY n, s_name) AS basenames FROM (SELECT s_suppkey % 100 AS n, s_name, CASE WHEN s_suppkey % 100 = 0 THEN 'preface' WHEN s_suppkey % 100 < 90 THEN 'chapter' WHEN s_suppkey % 100 < 99 THEN 'appendix' ELSE 'postface' END AS kind FROM supplier) GROUP BY kind""")
+def rebuilt_catalog(spark, sf_dir):
+    listing = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 100).alias("number"), F.col("s_name").alias("basename"))
+    return G.rebuilt_catalog(listing).withColumn("basenames", F.array_join("basenames", ","))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'ch/' || p_partkey || '.png' WHEN p_partkey % 3 = 1 THEN 'data/images/' || p_partkey || '.webp' END AS resolved FROM part""")
+def resolved_images(spark, sf_dir):
+    key = F.col("p_partkey")
+    p = table(spark, sf_dir, "part")
+    refs = p.select("p_partkey", F.concat(F.when(F.col("p_size") % 10 == 0, "https://x/").otherwise(""), key, F.lit(".png")).alias("src"))
+    files = p.select(F.explode(F.array(F.when(key % 3 == 0, F.concat(F.lit("ch/"), key, F.lit(".png"))), F.when(key % 3 == 0, F.concat(F.lit("data/images/"), key, F.lit(".png"))), F.when(key % 3 == 1, F.concat(F.lit("data/images/"), key, F.lit(".webp"))))).alias("path")).where("path IS NOT NULL")
+    return G.resolved_images(refs, files, [F.lit("ch"), F.lit("data/part"), F.lit("data/images")]).select("p_partkey", "resolved")
+
+
+@query("""SELECT p_partkey, array_to_string(list_slice(l, CASE WHEN bad THEN 1 ELSE a END, CASE WHEN bad THEN len(l) ELSE least(z, len(l)) END), chr(10)) AS text FROM (SELECT p_partkey, l, a, z, a < 1 OR z < a OR a > len(l) AS bad
+FROM (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ') AS l, p_size % 6 AS a, p_size % 7 AS z FROM part))""")
+def included_code(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    files = p.select(F.col("p_partkey").alias("path"), F.translate(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ", "\n").alias("code"))
+    refs = p.select(F.col("p_partkey").alias("path"), (F.col("p_size") % 6).alias("first"), (F.col("p_size") % 7).alias("last"))
+    return G.included_code(refs, files).select(F.col("path").alias("p_partkey"), "text")
+
+
+@query("""SELECT doc_id AS term, CASE WHEN n = 0 THEN 'error' ELSE 'warning' END AS severity, CAST(n AS INTEGER) AS length FROM (SELECT doc_id, length(regexp_replace(CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang || source || repeat('x', CAST(n_chars AS INTEGER)) END, '[ \\t\\r\\n]', '', 'g')) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL) WHERE n = 0 OR n > 400""")
+def definition_issues(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    text = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("**"), "lang", F.lit("** ["), "source", F.lit("](u) `"), F.repeat(F.lit("x"), F.col("n_chars").cast("int")), F.lit("`")))
+    return G.definition_issues(d.select(F.col("doc_id").alias("term"), F.regexp_replace(text, "`", "").alias("definition")), required=True)
+
+
+@query("""SELECT term, manual FROM (SELECT unnest([p_name, CAST(p_size AS VARCHAR), '#' || lpad(CAST(p_size AS VARCHAR), 6, '0'), '<b>', '&&']) AS term, p_partkey % 2 = 0 AS manual FROM part) WHERE manual OR NOT regexp_matches(term, '^#?[0-9a-fA-F]{3,8}$|^[0-9\\s.,%]+$|^[=!<>&|+*/%^~-]+$|^</?[A-Za-z][^>]*>?$')""")
+def shown_in_review(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    p = table(spark, sf_dir, "part").select(F.explode(F.array("p_name", size, F.concat(F.lit("#"), F.lpad(size, 6, "0")), F.lit("<b>"), F.lit("&&"))).alias("term"), (F.col("p_partkey") % 2 == 0).alias("manual"))
+    return G.shown_in_review(p)
+
+
+@query("SELECT 's' || n_regionkey AS anchor, min(n_nationkey) AS n_nationkey FROM nation GROUP BY 1 UNION ALL SELECT 'n' || n_nationkey, n_nationkey FROM nation")
+def anchor_pages(spark, sf_dir):
+    html = F.concat(F.lit('<h1 id="s'), "n_regionkey", F.lit('">x</h1><p id="n'), "n_nationkey", F.lit('">'))
+    return G.anchor_pages(table(spark, sf_dir, "nation").select("n_nationkey", html.alias("html")), "n_nationkey")
+
+
+@query("SELECT doc_id, replace(replace(text, 'the ', 'THE '), 'and ', '& ') AS text FROM documents")
+def replaced_by_rules(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", G.replaced(F.col("text"), [("the ", "THE "), ("and ", "& "), ("he ", "never"), ("nd ", "never")], ["he ", "nd "]).alias("text"))

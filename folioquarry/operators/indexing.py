@@ -167,11 +167,15 @@ def heading_key(c: Column) -> Column:
     return _chain(c, HEADING_MARKS)
 
 
+def _holds(want: str):
+    return lambda a: a.contains(want)
+
+
 def heading_matches(heading: Column, ancestors: Column, path: list[str]) -> Column:
     """Whether a heading (as heading_key) contains the last part of a path and its ancestors the others in their order."""
     ok, rest = heading.contains(path[-1]), ancestors
     for want in path[:-1]:
-        at = F.array_position(F.transform(rest, lambda a, w=want: a.contains(w)), True)
+        at = F.array_position(F.transform(rest, _holds(want)), True)
         ok, rest = ok & (at > 0), F.slice(rest, (at + 1).cast("int"), F.greatest(F.size(rest), F.lit(1)))
     return F.coalesce(ok, F.lit(False))
 
