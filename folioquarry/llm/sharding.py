@@ -150,9 +150,16 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Writes docs (with its doc_id and text) under path/shard=k/, in slot order within each file."""
-    where = assign_shards(docs, shards).select("doc_id", "text_crc32", "shard", "slot").dropDuplicates(["doc_id", "text_crc32"])
-    keyed = docs.withColumn("text_crc32", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    joined = keyed.alias("d").join(where.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_crc32") == F.col("w.text_crc32")))
-    out = joined.select("d.doc_id", "d.text", "w.shard", "w.slot")
+    """Writes docs, all columns, under path/shard=k/ with slot, in slot order within each file.
+
+    Each row has a slot of its own, repeated rows too: the n-th row of an id and text takes the n-th slot that they have.
+    Null ids and texts are kept; columns named shard or slot are replaced; an empty table writes no rows.
+    """
+    where = assign_shards(docs, shards).select(id_key().alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    where = where.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_crc").orderBy("shard", "slot")))
+    text = F.coalesce("row.text", F.lit(""))
+    rows = docs.drop("shard", "slot").select(F.struct("*").alias("row"))
+    rows = rows.select("row", id_key("row.doc_id").alias("_id"), F.crc32(F.encode(text, "UTF-8")).alias("_crc"))
+    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_crc").orderBy(F.xxhash64("row"))))
+    out = rows.join(where, ["_id", "_crc", "_nth"]).select("row.*", "shard", "slot")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

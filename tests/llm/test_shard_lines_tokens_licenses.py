@@ -328,3 +328,17 @@ def test_sentences_of_license_texts(text, label):
 
 def test_a_bare_word_is_no_license():
     assert licenses.scan("a public domain debate")[2] == []
+
+
+def test_written_shards_hold_all_rows_and_columns(spark, tmp_path):
+    rows = [(i, f"text {i % 7} " * (i % 5 + 1), "x", i * 2) for i in range(60)] + [(3, "text 3 " * 4, "y", 6), (None, None, None, None), (None, "", "z", 1), (3, "text 3 " * 4, "y", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, slot int")
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in got) == Counter((i, t, x) for i, t, x, _ in rows)
+    placed = sharding.assign_shards(docs, 4).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == sorted((r["shard"], r["slot"]) for r in placed)
+    for s in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 4)
