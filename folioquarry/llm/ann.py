@@ -92,12 +92,13 @@ def scan_block(base: np.ndarray, rotated: list[np.ndarray], ids: np.ndarray, que
     found = exact(head)
     limit = np.partition(found, k - 1)[k - 1] ** 2 if len(found) >= k else np.inf
     part, done = np.zeros(len(rows)), 0
+    rounding = 1e-9 * float(query @ query)  # of the rotations; copies of the query must not fall to it
     for cols in rotated:
         diff = cols[rows] - turned[done : done + cols.shape[1]]
         part += np.einsum("ij,ij->i", diff, diff)
         done += cols.shape[1]
         slack = (1 + EPSILON / np.sqrt(done)) ** 2 if done < d_all else 1 + 1e-9
-        stay = part * (d_all / done) <= limit * slack
+        stay = part * (d_all / done) <= limit * slack + rounding
         rows, part = rows[stay], part[stay]
         if not len(rows):
             break

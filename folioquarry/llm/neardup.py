@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioquarry.llm.common import discard, id_back, id_key, release, written
+from folioquarry.llm.common import discard, id_back, id_key, mark, release, tidy, written
 from folioquarry.llm.fold import folded, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -448,13 +448,16 @@ def _more_links(needed: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b), a < b: linked pairs that connect what the buckets connect; texts are (id, folded)."""
+    start = mark()
     found, known = _stars(buckets, texts)
     first = written(found.where(F.col("state") == _LINKED).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
     release(texts.sparkSession)
     roots = _groups(first)
     needed = written(_needed(_blocks(known, roots, texts)), "near-blocks")
     release(texts.sparkSession)
-    return written(first.union(_more_links(needed, texts)).distinct(), "near-links")
+    links = written(first.union(_more_links(needed, texts)).distinct(), "near-links")
+    tidy(texts.sparkSession, start, links)
+    return links
 
 
 def _groups(links: DataFrame) -> DataFrame:

@@ -173,3 +173,12 @@ def test_scores_agree_with_plain_sets_of_ngrams(spark, sf):
         total = model.bias + sum(weight.get(h, 0.0) for h in set(plain_grams(raw).values()))
         assert abs(score - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) < 1e-9
     assert len(weight) > 3 or model.bias < 0
+
+
+def test_ties_among_many_copies_go_to_the_smallest_id(spark):
+    rng = np.random.default_rng(9)
+    one = [float(x) for x in rng.normal(size=8)]
+    rows = [(0, one)] + [(1 + i, one) for i in range(150)] + [(1000 + i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    order = rng.permutation(len(rows))
+    got = ann.search(spark.createDataFrame([rows[k] for k in order], "vec_id long, embedding array<double>"), k=10, every=5000).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == [(k, k) for k in range(1, 11)]
