@@ -215,7 +215,11 @@ def _samples(docs: DataFrame, wanted: list[tuple[DataFrame, int, int]]) -> list[
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learns from the rows of docs and labels outside the held-out fold."""
+    """Learns from the rows of docs and labels outside the held-out fold.
+
+    Positives are the texts of ids with a positive label, also where the id has a negative one besides. The class prior is
+    the share of positive label rows, so it reads the negative labels too; nothing else does. Null labels count nowhere.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~held_out() & F.col("doc_id").isNotNull())
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out() & F.col("toxic").isNotNull())
     prior = known.agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]

@@ -182,3 +182,16 @@ def test_ties_among_many_copies_go_to_the_smallest_id(spark):
     order = rng.permutation(len(rows))
     got = ann.search(spark.createDataFrame([rows[k] for k in order], "vec_id long, embedding array<double>"), k=10, every=5000).collect()
     assert sorted((r["rank"], r["vec_id"]) for r in got) == [(k, k) for k in range(1, 11)]
+
+
+def test_an_id_with_both_labels_is_positive(spark):
+    from pyspark.sql import functions as F
+
+    ids = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 5]
+    docs = [(i, f"calm words about rivers and stones number {i}" + (" vilegrubber nastyword" if k < 60 else "")) for k, i in enumerate(ids)]
+    labels = [(i, 1) for i, _ in docs[:60]] + [(i, 0) for i, _ in docs[:200]] + [(ids[-1], None)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    bad, good = model.scores(["a vilegrubber nastyword here", "calm words about rivers"])
+    assert bad >= 0.5 > good
+    plain = spark.createDataFrame(labels, "doc_id long, toxic int").where(F.col("toxic").isNotNull())
+    assert abs(plain.agg(F.avg("toxic")).first()[0] - 60 / 260) < 1e-9
