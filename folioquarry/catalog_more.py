@@ -413,7 +413,7 @@ def expanded_ranges(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey AS chapter, CAST(max(k) * 2 - 1 AS INTEGER) AS line, 'error' AS severity, 'fence' AS category, 'a code fence is not closed' AS message FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem) GROUP BY l_orderkey HAVING count(*) % 2 = 1""")
-def open_fences(spark, sf_dir):
+def unclosed_fences(spark, sf_dir):
     docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).select("l_orderkey", F.array_join(F.array_repeat(F.lit("```py"), F.col("n").cast("int")), "\nx = 1\n").alias("text"))
     return C.fence_issues(docs, "l_orderkey")
 
