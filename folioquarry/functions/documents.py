@@ -278,4 +278,6 @@ _ROWS = {
 
 def rows_of(fn, c):
     """The rows that one of outline, container_faults, located_sentences, utterances or pipe_table finds, as a column."""
-    return F.from_json(_series(lambda x: __import__("json").dumps(fn(x), ensure_ascii=False), T.StringType())(c), _ROWS[fn])
+    if _ROWS[fn].startswith("array"):
+        return _series(fn, _ROWS[fn])(c)
+    return F.try_element_at(_series(lambda x: [] if (row := fn(x)) is None else [row], f"array<{_ROWS[fn]}>")(c), F.lit(1))  # one struct
