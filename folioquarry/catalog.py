@@ -268,7 +268,7 @@ _VALID = "length(term) >= 2 AND NOT regexp_matches(term, '(?i)^(?:span|div|class
 @query(f"""SELECT term, CAST(sum(CASE trait WHEN 'technical' THEN 15 ELSE 30 END) AS BIGINT) AS bonus FROM (SELECT DISTINCT term, trait FROM ({_FOUND}) WHERE {_VALID}) GROUP BY term""")
 def term_traits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return T.trait_bonus(T.extract(docs, T.TECHNICAL, "technical").union(T.extract(docs, T.DEFINITIONS, "definition")))
+    return T.trait_bonus(T.extract(docs, T.TECHNICAL, "technical").union(T.extract(docs, T.DEFINITIONS, "definition", sign=T.DEFINING)))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT source, term FROM ({_COUNTED})), n AS (SELECT count(DISTINCT source) AS total FROM documents)

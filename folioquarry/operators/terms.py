@@ -32,6 +32,8 @@ DEFINITIONS = (
     f"「({TERM_CHAR}{{2,20}})」(?:とは|は|について)",
     f"({TERM_CHAR}{{2,20}})(?:の概念|の定義|の意味)",
 )
+#: Every definition holds one of these; texts without any need no closer look.
+DEFINING = "とは|について|に関して|[をが](?:定義|説明|解説)|」は|の概念|の定義|の意味"
 TECHNICAL = (r"([ァ-ヶー]{3,})", r"([A-Z][a-zA-Z]{2,})", r"([A-Z]{2,})")
 # What cannot be in a term: marks of the notation, punctuation, a blank or a mark at either end.
 JUNK = r"[。、！？\r\n\t#*|`>~\[\]()（）「」『』【】]|:{3}|^[\s\-.:：]|[\s\-.:：]$"
@@ -68,8 +70,9 @@ def tfidf(counts: DataFrame, n_docs: Column | int) -> DataFrame:
     return agg.withColumn("score", (1 + F.log("tf")) * (F.log((n + 1) / (F.col("df") + 1)) + 1) * SCALE)
 
 
-def extract(docs: DataFrame, patterns: tuple[str, ...], trait: str, text: str = "text") -> DataFrame:
-    """(term, trait, n) of valid terms that any of the patterns (one group each) finds."""
+def extract(docs: DataFrame, patterns: tuple[str, ...], trait: str, text: str = "text", sign: str | None = None) -> DataFrame:
+    """(term, trait, n) of valid terms that any of the patterns (one group each) finds; sign: what all that they match holds."""
+    docs = docs if sign is None else docs.where(F.col(text).rlike(sign))
     found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in patterns]))
     each = docs.select(F.explode(found).alias("term")).where(valid_term("term"))
     return each.groupBy("term").agg(F.count("*").alias("n")).withColumn("trait", F.lit(trait))

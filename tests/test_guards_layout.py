@@ -76,3 +76,12 @@ def test_names_macros_and_comments(spark):
     assert [r[0] for r in d.select(L.safe_name(F.col("text"))).collect()] == ["Einsteins 1_a", "image", "x"]
     assert frame(spark, "@version @titles @title").select(L.value_macros(F.col("text"), {"version": r"1\0$", "title": "<t>"})).first()[0] == "1\\0&#36; @titles &lt;t&gt;"
     assert frame(spark, "a<!--x\ny-->b<!-- z").select(L.blank_comments(F.col("text"))).first()[0] == "a     \n    b<!-- z"
+
+
+def test_definitions_with_and_without_their_signs(spark):
+    from folioquarry.operators import terms as T
+
+    texts = ["組版とは文字を並べることである。", "「版面」は紙の上の領域。", "索引については後で。", "索引に関しての話", "目次を説明する。", "余白の概念、行間の意味", "no definition here", "版面は広い"]
+    docs = frame(spark, *texts)
+    every = sorted(tuple(r) for r in T.extract(docs, T.DEFINITIONS, "definition").collect())
+    assert sorted(tuple(r) for r in T.extract(docs, T.DEFINITIONS, "definition", sign=T.DEFINING).collect()) == every and len(every) >= 6
