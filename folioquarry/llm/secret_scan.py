@@ -53,12 +53,12 @@ _ASSIGNED = (
 )
 _CANDIDATE = re.compile(_FORMAT + "|" + _ASSIGNED + r"|(?P<run>[0-9A-Za-z_+/=.@-]{16,})")
 _INSIDE = re.compile(rf"(?<![0-9A-Za-z])(?:{_FORMAT})|{_ASSIGNED}")
-_REACH = 320
-#: What a dictionary says of a longer value it says of PARTS even stretches of it.
-LONG, PARTS = 1024, 8
+#: From 51 characters on, any named value is known as such: name, signs, spaces and the first eight of the value.
+_REACH = 64
 _KINDS = [*FORMATS, "assigned", "run"]
 _WORD = re.compile(r"[A-Za-z]+")
 _SIGNS = string.ascii_lowercase + "0"
+_CODES = np.array([_SIGNS.find("0" if chr(c).isdigit() else chr(c)) for c in range(128)])
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,10 @@ class Dictionary:
 
     def __init__(self, words: list[str]):
         self.words = {w for w in words if len(w) >= 4}
-        self.longest = max(map(len, self.words), default=4)
+        sizes: dict[str, set[int]] = {}
+        for w in self.words:
+            sizes.setdefault(w[:4], set()).add(len(w))
+        self.sizes = {head: sorted(own, reverse=True) for head, own in sizes.items()}
         counts = np.ones((27, 27))
         for w in self.words:
             codes = [ord(c) - 97 for c in w]
@@ -89,31 +92,26 @@ class Dictionary:
         return cls(sorted({w for p in pieces if (w := p.lstrip("Ġ").lower()).isascii() and w.isalpha()}))
 
     def coverage(self, text: str) -> float:
+        """Share of the whole text that words cover, the longest word at each place."""
         covered = at = 0
         low = text.lower()
         while at < len(low):
-            for n in range(min(self.longest, 12, len(low) - at), 3, -1):
-                if low[at : at + n] in self.words:
-                    covered += n
-                    at += n
+            for n in self.sizes.get(low[at : at + 4], ()):
+                if (word := low[at : at + n]) in self.words:
+                    covered += len(word)
+                    at += len(word)
                     break
             else:
                 at += 1
         return covered / max(1, len(low))
 
     def chain(self, text: str) -> float:
-        """Mean log chance of the transitions; digits are one sign."""
-        codes = [ord(c) - 97 if c.isalpha() else 26 for c in text.lower() if c.isascii() and c.isalnum()]
+        """Mean log chance of all transitions; digits are one sign."""
+        codes = _CODES[np.frombuffer(text.lower().encode("ascii", "ignore"), np.uint8)]
+        codes = codes[codes >= 0]
         return float(self.log[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else -3.0
 
 
-def _stretches(value: str) -> str:
-    if len(value) <= LONG:
-        return value
-    step, size = len(value) // PARTS, LONG // PARTS
-    return " ".join(value[k * step : k * step + size] for k in range(PARTS))
-
-
 def features(f: Finding, d: Dictionary) -> list[float]:
     v, n = f.value, max(1, len(f.value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in v]
@@ -126,7 +124,7 @@ def features(f: Finding, d: Dictionary) -> list[float]:
     return [
         len(v), *share, entropy, len(counts) / n, max(counts, default=0) / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        d.chain(_stretches(v)), d.coverage(_stretches(v)),
+        d.chain(v), d.coverage(v),
         float(all(c in "0123456789abcdefABCDEF" for c in v)), float(v.isdigit()),
         v.count("/") / n, v.count(".") / n, float("@" in v), v.count("-") / n,
         float(any(w in near for w in TELLING.split())), float(any(w in HARMLESS.split() for w in words)),
@@ -137,6 +135,21 @@ def features(f: Finding, d: Dictionary) -> list[float]:
     ]
 
 
+def _inner(text: str, a: int, z: int) -> re.Match | None:
+    """The first named value or key format that begins in the run text[a:z], whole, however far it goes.
+
+    Of these, only a password in a URL and the head of a private key may need more than _REACH characters after the run to be
+    known. A run holds no colon and no space, so the former begins right after ://, at most two places into the run, and the
+    latter's -----BEGIN is the end of the run. These places are tried with the whole text.
+    """
+    near = _INSIDE.search(text, a, z + _REACH)
+    first = near.start() if near and near.start() < z else z
+    for p in (a, a + 1, a + 2, z - 10, first):
+        if p <= first and p < z and (whole := _INSIDE.match(text, p)):
+            return whole
+    return None
+
+
 def candidates(text: str | None, path: str | None) -> Iterator[tuple[int, Finding]]:
     """(start, finding) in the order of the text."""
     text, at = text or "", 0
@@ -144,8 +157,7 @@ def candidates(text: str | None, path: str | None) -> Iterator[tuple[int, Findin
         name = m.lastgroup
         a, z = m.span(name)
         at = m.end()
-        if name == "run" and (inner := _INSIDE.search(text, a, z + _REACH)) and inner.start() < z:
-            inner = _INSIDE.match(text, inner.start())  # whole, beyond the stretch looked at
+        if name == "run" and (inner := _inner(text, a, z)):
             z = at = inner.start()  # a run ends where a named value or a key format begins in it; that comes next
             if z - a < 16:
                 name = inner.lastgroup
